@@ -104,9 +104,7 @@ def word_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sum_segments(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum of each segment; an empty one gives 0."""
-    if not len(values):
-        return np.zeros(len(offsets) - 1, values.dtype)
-    total = np.add.reduceat(values, np.minimum(offsets[:-1], len(values) - 1))
+    total = np.add.reduceat(np.append(values, np.zeros(1, values.dtype)), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, values.dtype)
     total[offsets[:-1] == offsets[1:]] = 0
     return total
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketlake.llm import curriculum, exact_search
 from docketlake.llm.language_crf import label_languages
+from docketlake.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +21,27 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(_docs(spark, sf_dir))
 
 
+def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix_sources(_docs(spark, sf_dir))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir))
+
+
+def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    return exact_search.top_k_search(_docs(spark, sf_dir), items)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_language_crf": op2_language_crf}
+    return {
+        "op2_language_crf": op2_language_crf,
+        "op6_curriculum_mix": op6_curriculum_mix,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op10_exact_search": op10_exact_search,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_curriculum_mix": curriculum.SQL, "op10_exact_search": exact_search.SQL}
