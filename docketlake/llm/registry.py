@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlake.llm import curriculum, exact_search
+from docketlake.llm import curriculum, exact_search, url_filter
 from docketlake.llm.language_crf import label_languages
 from docketlake.llm.packing import pack_documents
+from docketlake.llm.robust_quality import reject_outliers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
 
+def op8_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reject_outliers(_docs(spark, sf_dir))
+
+
 def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
     return exact_search.top_k_search(_docs(spark, sf_dir), items)
@@ -39,9 +48,11 @@ def queries() -> dict[str, Query]:
         "op2_language_crf": op2_language_crf,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_url_equivalence": op8_url_equivalence,
+        "op9_robust_quality": op9_robust_quality,
         "op10_exact_search": op10_exact_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_curriculum_mix": curriculum.SQL, "op10_exact_search": exact_search.SQL}
+    return {"op6_curriculum_mix": curriculum.SQL, "op8_url_equivalence": url_filter.SQL, "op10_exact_search": exact_search.SQL}
