@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docketlake.llm import curriculum, exact_search, url_filter
 from docketlake.llm.language_crf import label_languages
+from docketlake.llm.near_duplicates import near_duplicates
 from docketlake.llm.packing import pack_documents
 from docketlake.llm.robust_quality import reject_outliers
 
@@ -22,6 +23,10 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(_docs(spark, sf_dir))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix_sources(_docs(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_language_crf": op2_language_crf,
+        "op5_chosen_path": op5_chosen_path,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_url_equivalence": op8_url_equivalence,
