@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlake.llm import curriculum, exact_search, url_filter
+from docketlake.llm import curriculum, exact_search, line_dedup, url_filter
 from docketlake.llm.language_crf import label_languages
 from docketlake.llm.near_duplicates import near_duplicates
 from docketlake.llm.packing import pack_documents
@@ -23,6 +23,10 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(_docs(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_docs(spark, sf_dir))
+
+
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_language_crf": op2_language_crf,
+        "op4_line_dedup": op4_line_dedup,
         "op5_chosen_path": op5_chosen_path,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op7_best_fit_packing": op7_best_fit_packing,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_curriculum_mix": curriculum.SQL, "op8_url_equivalence": url_filter.SQL, "op10_exact_search": exact_search.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op6_curriculum_mix": curriculum.SQL, "op8_url_equivalence": url_filter.SQL, "op10_exact_search": exact_search.SQL}
