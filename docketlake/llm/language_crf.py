@@ -333,3 +333,21 @@ def _label_slice(part: pa.RecordBatch, model: Model, languages: tuple[str, ...]
         ],
         ["doc_id", "lang", "confidence", "shares", "n_words", "n_switches", "segments", "keep"],
     )
+
+
+def drop_unrecognised(docs: DataFrame, languages: tuple[str, ...] | None = None, min_confidence: float = 0.5, sample_docs: int = 100, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that label_languages() would keep. No row moves; columns may bear any names."""
+    if model is None:
+        model = train(training_rows(docs, sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches):
+        m = shared.value
+        for batch in batches:
+            text = batch.column("text").cast(pa.string()).fill_null("")
+            bare = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), text], ["doc_id", "text"])
+            keep = [_label_slice(part, m, languages, min_confidence).column("keep") for part in slices(iter([bare]))]
+            if keep:
+                yield batch.filter(pa.concat_arrays(keep))
+
+    return docs.mapInArrow(choose, docs.schema)

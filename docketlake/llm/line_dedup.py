@@ -188,12 +188,19 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 3)
     return copies.union(near)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 3) -> DataFrame:
-    """The documents with all their columns, their texts without the lines of repeated_lines(). Every row stays, a null text as it is; columns may bear any names."""
+def dedup_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 3, drop_emptied: bool = False) -> DataFrame:
+    """The documents with all their columns, their texts without the lines of repeated_lines().
+
+    Every row stays, a null text as it is; with ``drop_emptied`` those go that lost lines and have nothing left but lines
+    of fewer than ``min_tokens`` words. Columns may bear any names.
+    """
     gone = repeated_lines(docs, threshold, min_tokens).groupBy("doc_id").agg(F.collect_set("line").alias("lines")).select(F.struct("doc_id", "lines").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone.doc_id"), "left")
     rest = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone.lines"), i))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(rest, "\n"))
+    if drop_emptied:
+        full = F.exists(rest, lambda x: F.regexp_count(x, F.lit(r"[^ \t\n\r]+")) >= min_tokens)
+        joined = joined.where(F.col("__gone").isNull() | full)
     return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
@@ -207,8 +214,8 @@ w AS (SELECT first, n, unnest(ws) AS w FROM s),
 f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
 p AS (SELECT first, n, w FROM w JOIN f USING (w) QUALIFY row_number() OVER (PARTITION BY first ORDER BY df, w) <= n - ceil(0.9 * n - 1e-9) + 1),
 c AS (SELECT DISTINCT a.first AS a, b.first AS b FROM p a JOIN p b ON a.w = b.w AND a.first < b.first AND a.n >= 0.9 * b.n - 1e-9 AND b.n >= 0.9 * a.n - 1e-9),
-v AS (SELECT c.a, c.b, len(list_intersect(x.ws, y.ws)) AS both, x.n + y.n AS n FROM c JOIN s x ON x.first = c.a JOIN s y ON y.first = c.b),
-near AS (SELECT b, min((a[1], a[2], both / (n - both)::DOUBLE)) AS a FROM v WHERE both / (n - both)::DOUBLE >= 0.9 GROUP BY b)
+v AS (SELECT c.a, c.b, len(list_intersect(x.ws, y.ws)) AS shared, x.n + y.n AS n FROM c JOIN s x ON x.first = c.a JOIN s y ON y.first = c.b),
+near AS (SELECT b, min((a[1], a[2], shared / (n - shared)::DOUBLE)) AS a FROM v WHERE shared / (n - shared)::DOUBLE >= 0.9 GROUP BY b)
 SELECT doc_id, line::INT AS line, kept_doc_id, kept_line::INT AS kept_line, jaccard FROM copies
 UNION ALL SELECT b[1], b[2]::INT, a[1], a[2]::INT, a[3] FROM near
 """

@@ -10,6 +10,7 @@ from docketlake.llm import curriculum, exact_search, line_dedup, url_filter
 from docketlake.llm.language_crf import label_languages
 from docketlake.llm.near_duplicates import near_duplicates
 from docketlake.llm.packing import pack_documents
+from docketlake.llm.pii_bootstrap import find_identifiers
 from docketlake.llm.robust_quality import reject_outliers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_identifiers(_docs(spark, sf_dir))
+
+
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(_docs(spark, sf_dir))
 
@@ -54,6 +59,7 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii_bootstrap": op1_pii_bootstrap,
         "op2_language_crf": op2_language_crf,
         "op4_line_dedup": op4_line_dedup,
         "op5_chosen_path": op5_chosen_path,

@@ -58,5 +58,7 @@ def test_odd_rows_and_all_columns(spark):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     want = [(1, rows[0][1]), (2, "of it\nof it\n" + long), (3, None), (4, ""), (None, "One two three!"), (5, "last"), (6, rows[6][1]), (6, rows[6][1])]
     assert got == sorted(want, key=str)
+    kept = {r.doc_id for r in dedup_lines(docs, drop_emptied=True).collect()}
+    assert kept == {1, 2, 3, 4, 6, None}
     none = spark.createDataFrame([], docs.schema)
     assert dedup_lines(none).collect() == []
