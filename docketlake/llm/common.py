@@ -43,6 +43,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets the driver's JVM notice shuffles that nothing refers to, so that executors delete their files now rather than later."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later job reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -12,6 +12,7 @@ from docketlake.llm.near_duplicates import near_duplicates
 from docketlake.llm.packing import pack_documents
 from docketlake.llm.pii_bootstrap import find_identifiers
 from docketlake.llm.robust_quality import reject_outliers
+from docketlake.llm.suffix_dedup import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(_docs(spark, sf_dir))
 
 
+def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(_docs(spark, sf_dir))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii_bootstrap": op1_pii_bootstrap,
         "op2_language_crf": op2_language_crf,
+        "op3_prefix_free_parsing": op3_prefix_free_parsing,
         "op4_line_dedup": op4_line_dedup,
         "op5_chosen_path": op5_chosen_path,
         "op6_curriculum_mix": op6_curriculum_mix,
