@@ -1,0 +1,191 @@
+"""Composable predicates: one expression tree that renders as a query string or compiles to a Column."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
+from urllib.parse import parse_qs, unquote, urlparse
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+EARLIEST, LATEST = dt.date(1959, 1, 1), dt.date(2999, 12, 31)
+LISTS = {"appno", "article", "respondent"}
+COLUMNS = {"article": "articles", "kpdate": "kp_date", "languageisocode": "language"}
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+@dataclass(frozen=True)
+class Q:
+    """A leaf or an AND, OR or NOT of others. Chains of one kind flatten."""
+
+    kind: str
+    parts: tuple[Q, ...] = ()
+    name: str = ""
+    value: object = None
+
+    def _with(self, kind: str, other: Q) -> Q:
+        if not isinstance(other, Q):
+            raise TypeError(f"can't combine Q with {type(other).__name__}")
+        flat = [p for q in (self, other) for p in (q.parts if q.kind == kind else (q,))]
+        return Q(kind, tuple(flat))
+
+    def __and__(self, other: Q) -> Q:
+        return self._with("and", other)
+
+    def __or__(self, other: Q) -> Q:
+        return self._with("or", other)
+
+    def __invert__(self) -> Q:
+        return Q("not", (self,))
+
+    @classmethod
+    def raw(cls, fragment: str) -> Q:
+        """A SQL fragment, taken as it is."""
+        return cls("raw", value=fragment)
+
+    @classmethod
+    def field(cls, name: str, value: object, equals: bool = False) -> Q:
+        return cls("equals" if equals else "match", name=name, value=value)
+
+    @classmethod
+    def text(cls, terms: str) -> Q:
+        """All terms occur in the text, in any order."""
+        return cls("text", name="text", value=terms)
+
+    @classmethod
+    def phrase(cls, phrase: str) -> Q:
+        return cls("phrase", name="text", value=phrase)
+
+    @classmethod
+    def near(cls, phrase: str, distance: int = 5) -> Q:
+        """The first and last word of the phrase stand within ``distance`` words of one another."""
+        return cls("near", name="text", value=(phrase, distance))
+
+    @classmethod
+    def date_range(cls, start: object = None, stop: object = None) -> Q:
+        return cls("dates", name="kpdate", value=(_day(start, EARLIEST), _day(stop, LATEST)))
+
+    def render(self) -> str:
+        """A query string; only AND and OR below another operator need brackets."""
+        inner = lambda q: f"({q.render()})" if q.kind in ("and", "or") else q.render()
+        if self.kind in ("and", "or"):
+            return f" {self.kind.upper()} ".join(map(inner, self.parts))
+        if self.kind == "not":
+            return f"NOT ({self.parts[0].render()})"
+        if self.kind in ("raw", "text"):
+            return str(self.value)
+        if self.kind == "phrase":
+            return f'"{self.value}"'
+        if self.kind == "near":
+            return f'"{self.value[0]}"~{self.value[1]}'
+        if self.kind == "dates":
+            return f"{self.name}>={self.value[0]} AND {self.name}<={self.value[1]}"
+        quoted = self.value if isinstance(self.value, int) else json.dumps(str(self.value), ensure_ascii=False)
+        return f"{self.name}{'=' if self.kind == 'equals' else ':'}{quoted}"
+
+    def column(self, text: str = "text") -> Column:
+        """The predicate over the columns of the documents table."""
+        if self.kind in ("and", "or"):
+            return reduce(and_ if self.kind == "and" else or_, (p.column(text) for p in self.parts))
+        if self.kind == "not":
+            return ~self.parts[0].column(text)
+        if self.kind == "raw":
+            return F.expr(str(self.value))
+        if self.kind == "text":
+            have = _tokens(F.col(text))
+            return reduce(and_, (F.array_contains(have, t.lower()) for t in str(self.value).split()), F.lit(True))
+        if self.kind == "phrase":
+            joined = F.concat(F.lit(" "), F.array_join(_tokens(F.col(text)), " "), F.lit(" "))
+            return F.contains(joined, F.concat(F.lit(" "), F.array_join(_tokens(F.lit(self.value)), " "), F.lit(" ")))
+        if self.kind == "near":
+            words = str(self.value[0]).lower().split()
+            pairs = F.transform(_tokens(F.col(text)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+            a, b = (F.filter(pairs, lambda p, w=w: p.t == w) for w in (words[0], words[-1]))
+            return F.exists(a, lambda x: F.exists(b, lambda y: (x.i != y.i) & (F.abs(x.i - y.i) <= self.value[1])))
+        column = F.col(COLUMNS.get(self.name, self.name))
+        if self.kind == "dates":
+            return column.between(F.lit(self.value[0]), F.lit(self.value[1]))
+        if self.name in LISTS:
+            return F.array_contains(column, str(self.value))
+        if self.kind == "equals" or isinstance(self.value, (int, bool)):
+            return column == (self.value if isinstance(self.value, bool) else str(self.value) if self.name == "importance" else self.value)
+        joined = F.concat(F.lit(" "), F.array_join(_tokens(column), " "), F.lit(" "))
+        return F.contains(joined, F.concat(F.lit(" "), F.array_join(_tokens(F.lit(str(self.value))), " "), F.lit(" ")))
+
+
+def _day(value: object, default: dt.date) -> dt.date:
+    if value is None:
+        return default
+    if isinstance(value, dt.datetime):
+        return value.date()
+    return value if isinstance(value, dt.date) else dt.date.fromisoformat(str(value)[:10])
+
+
+def one_of(name: str, values, equals: bool = False) -> Q:
+    """A field equal to any of the values (a single value counts as a list of one)."""
+    values = [values] if isinstance(values, (str, int)) else list(values)
+    return reduce(or_, (Q.field(name, v, equals) for v in values))
+
+
+def search_query(text: str | None = None, date_from=None, date_to=None, language=None, **fields) -> Q | None:
+    """The conjunction of everything given; None when nothing is."""
+    parts = [Q.text(text)] if text else []
+    parts += [one_of(k, v, k in ("itemid", "ecli", "doctype")) for k, v in fields.items() if v is not None]
+    if language:
+        parts.append(one_of("languageisocode", language, True))
+    if date_from or date_to:
+        parts.append(Q.date_range(date_from, date_to))
+    return reduce(and_, parts) if parts else None
+
+
+def query_from_url(url: str, hosts: tuple[str, ...]) -> Q:
+    """The predicate of a shareable search URL: ``?i=``, ``?query=`` or a JSON fragment of field lists; other hosts are refused."""
+    parsed = urlparse(url)
+    if parsed.hostname not in hosts:
+        raise ValueError(f"not a search host: {parsed.hostname}")
+    query = parse_qs(parsed.query)
+    if query.get("i"):
+        return Q.field("itemid", query["i"][0], True)
+    if query.get("query"):
+        return Q.text(query["query"][0])
+    if not parsed.fragment:
+        raise ValueError("no query in the URL")
+    found = json.loads(unquote(parsed.fragment))
+    parts = []
+    for name, values in found.items():
+        if name == "fulltext":
+            parts += [Q.text(v) for v in values]
+        elif name in ("kpdate", "kp_date"):
+            parts.append(Q.date_range(values[0] or None, (values + [None])[1] or None))
+        elif name != "sort":
+            if not name.isidentifier():
+                raise ValueError(f"not a field: {name}")
+            parts.append(one_of(name, values))
+    return reduce(and_, parts)
+
+
+def sort_by(df: DataFrame, sort: str | None, key: str = "itemid") -> DataFrame:
+    """Orders by ``relevance`` (rank), ``date-desc``, ``date-asc`` or "<column> Ascending|Descending"; the key breaks ties."""
+    named = {None: ("rank", True), "": ("rank", True), "relevance": ("rank", True), "date-desc": ("kp_date", True), "date-asc": ("kp_date", False)}
+    if sort in named:
+        name, down = named[sort]
+    else:
+        name, _, way = str(sort).rpartition(" ")
+        if way not in ("Ascending", "Descending") or name not in df.columns:
+            raise ValueError(f"no such order: {sort}")
+        down = way == "Descending"
+    return df.orderBy(F.desc(name) if down else F.asc(name), key)
+
+
+def search(df: DataFrame, query: Q | None = None, sort: str | None = None, limit: int | None = None, key: str = "itemid") -> DataFrame:
+    found = df if query is None else df.where(query.column())
+    if sort is not None:
+        found = sort_by(found, sort, key)
+    return found if limit is None else found.limit(limit)
