@@ -164,7 +164,7 @@ def dispositive(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
     ended = F.max(F.col("text").rlike(r"(?iu)^(?:done\s+in|fait\s+en)\b").cast("int")).over(order)
     part = part.withColumn("__end", ended).withColumn("ruling", F.count("para_num").over(order)).where("ruling > 0 and __end = 0")
-    joined = part.groupBy("doc_id", "ruling").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda b: b.text), "\n").alias("text"), F.min("block_idx").alias("block_idx"))
+    joined = part.groupBy("doc_id", "ruling").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda b: b["text"]), "\n").alias("text"), F.min("block_idx").alias("block_idx"))
     vote = r"(?iu)\b(?:by|par)\s+(\w+)\s+(?:votes?|voix)\s+(?:to|contre)\s+(\w+)"
     unanimous = F.col("text").rlike(r"(?iu)\bunanimously\b|[àa]\s+l['’]unanimit[ée]")
     return joined.withColumn("unanimous", unanimous).withColumn("votes_for", F.nullif(F.lower(F.regexp_extract("text", vote, 1)), F.lit(""))).withColumn("votes_against", F.nullif(F.lower(F.regexp_extract("text", vote, 2)), F.lit("")))
@@ -176,9 +176,9 @@ def opinions(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
     part = blocks.where("section = 'separate_opinion'").withColumn("__new", title).withColumn("ordinal", F.count(F.when(F.col("__new"), 1)).over(order)).where("ordinal > 0")
     rows = F.array_sort(F.collect_list(F.struct("block_idx", "text")))
-    joined = part.groupBy("doc_id", "ordinal").agg(rows.alias("r")).select("doc_id", "ordinal", F.col("r")[0].text.alias("title"), F.array_join(F.transform(F.slice("r", 2, F.size("r")), lambda b: b.text), "\n").alias("text"))
+    joined = part.groupBy("doc_id", "ordinal").agg(rows.alias("r")).select("doc_id", "ordinal", F.col("r")[0]["text"].alias("title"), F.array_join(F.transform(F.slice("r", 2, F.size("r")), lambda b: b["text"]), "\n").alias("text"))
     kind = F.when(F.lower("title").rlike("partly dissenting|partiellement dissidente"), "partly_dissenting").when(F.lower("title").rlike("dissent|dissid"), "dissenting").when(F.lower("title").rlike("concur|concord"), "concurring").otherwise("separate")
     people = F.regexp_extract("title", r"(?iu)\b(?:of|de|des)\s+(?:judges?|juges?|M\.|Mme)\s+(.*?)(?:,?\s+(?:joined\s+by|à\s+laquelle)|$)", 1)
     joiners = F.regexp_extract("title", r"(?iu)\b(?:joined\s+by|se\s+rallie(?:nt)?)\s+(?:judges?\s+|juges?\s+|la\s+juge\s+)?(.*)$", 1)
-    names = lambda c: F.filter(F.transform(F.split(c, r"(?iu)\s*,\s*|\s+and\s+|\s+et\s+"), F.trim), lambda n: n != "")
+    names = lambda c: F.filter(F.transform(F.split(c, r"(?iu)\s*,\s*|\s+and\s+|\s+et\s+"), lambda n: F.trim(n)), lambda n: n != "")
     return joined.select("doc_id", "ordinal", "title", kind.alias("opinion_type"), names(people).alias("authors"), names(joiners).alias("joined_by"), "text", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("opinion"), F.col("ordinal").cast("string"), "title"), 256).alias("opinion_id"))

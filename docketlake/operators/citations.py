@@ -75,10 +75,14 @@ def resolution_report(resolved: DataFrame) -> DataFrame:
     return resolved.agg(n.alias("mentions"), done.alias("resolved"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"), F.count_if(F.col("status") == "conflict").alias("conflicts"), F.round(F.when(n == 0, 1.0).otherwise(done / n), 6).alias("completeness"))
 
 
+def _named(finder: str):
+    return lambda raw: F.struct(F.lit(finder).alias("finder"), raw.alias("raw"))
+
+
 def occurrences(blocks: DataFrame) -> DataFrame:
     """Places where a block prints an application number, an ECLI or a dated reference, with offsets and the pinpoint after it."""
     finders = [("appno", r"\b\d{1,6}/\d{2,4}\b"), ("ecli", r"\bECLI:[A-Z]{2}:[A-Z]+:\d{4}:[0-9A-Z]+"), ("itemid", r"\b001-\d+\b")]
-    parts = F.flatten(F.array(*(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), lambda r, f=f: F.struct(F.lit(f).alias("finder"), r.alias("raw"))) for f, p in finders)))
+    parts = F.flatten(F.array(*(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), _named(f)) for f, p in finders)))
     rows = blocks.select("doc_id", "block_idx", "text", "char_start", F.explode(parts).alias("m"))
     pieces = F.split("text", F.concat(F.lit("\\Q"), F.col("m.raw"), F.lit("\\E")), -1)
     at = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * F.length("m.raw"))

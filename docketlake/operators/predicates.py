@@ -107,8 +107,12 @@ class Q:
         if self.kind == "near":
             words = str(self.value[0]).lower().split()
             pairs = F.transform(_tokens(F.col(text)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-            a, b = (F.filter(pairs, lambda p, w=w: p.t == w) for w in (words[0], words[-1]))
-            return F.exists(a, lambda x: F.exists(b, lambda y: (x.i != y.i) & (F.abs(x.i - y.i) <= self.value[1])))
+
+
+            def places(word: str) -> Column:
+                return F.filter(pairs, lambda p: p["t"] == word)
+
+            return F.exists(places(words[0]), lambda x: F.exists(places(words[-1]), lambda y: (x["i"] != y["i"]) & (F.abs(x["i"] - y["i"]) <= self.value[1])))
         column = F.col(COLUMNS.get(self.name, self.name))
         if self.kind == "dates":
             return column.between(F.lit(self.value[0]), F.lit(self.value[1]))

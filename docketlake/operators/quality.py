@@ -42,8 +42,8 @@ def nominal_alpha(pairs: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 def one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Pairs that are each side's unique best: a tie on either side leaves both unpaired."""
-    best = lambda k: pairs.groupBy(k).agg(F.max(score).alias("b"))
-    tops = pairs.join(best(left).withColumnRenamed("b", "__l"), left).join(best(right).withColumnRenamed("b", "__r"), right).where((F.col(score) == F.col("__l")) & (F.col(score) == F.col("__r")))
+    best = lambda k, name: pairs.groupBy(k).agg(F.max(score).alias(name))
+    tops = pairs.join(best(left, "__l"), left).join(best(right, "__r"), right).where((F.col(score) == F.col("__l")) & (F.col(score) == F.col("__r")))
     alone = lambda k: tops.groupBy(k).count().where("count = 1").select(k)
     return tops.join(alone(left), left, "left_semi").join(alone(right), right, "left_semi").select(left, right, score)
 

@@ -16,7 +16,7 @@ def words(text: Column) -> Column:
 
 def paragraphs(docs: DataFrame, sep: str = "\n") -> DataFrame:
     """Non-blank paragraphs numbered within their document: paragraph_id is ``<doc_id>:<n>``."""
-    kept = F.filter(F.transform(F.split("text", sep, -1), F.trim), lambda p: p != "")
+    kept = F.filter(F.transform(F.split("text", sep, -1), lambda p: F.trim(p)), lambda p: p != "")
     return docs.select("doc_id", F.posexplode(kept).alias("pos", "text")).select(F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("pos") + 1).cast("string")).alias("paragraph_id"), "doc_id", (F.col("pos") + 1).alias("para_num"), "text")
 
 
@@ -48,7 +48,11 @@ def phrase_search(units: DataFrame, key: str, phrase: str) -> DataFrame:
 def near_search(units: DataFrame, key: str, first: str, second: str, distance: int = 5) -> DataFrame:
     """Units with the two words within ``distance`` places of one another, and the least distance."""
     placed = F.transform(words(F.col("text")), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    a, b = (F.transform(F.filter(placed, lambda p, w=w: p.t == w.lower()), lambda p: p.i) for w in (first, second))
+
+    def places(word: str) -> Column:
+        return F.transform(F.filter(placed, lambda p: p["t"] == word.lower()), lambda p: p["i"])
+
+    a, b = places(first), places(second)
     gaps = F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
     return units.select(key, gaps.alias("gap")).where(F.col("gap") <= distance)
 

@@ -29,7 +29,7 @@ def unitize(blocks: DataFrame, unit: str) -> DataFrame:
     """Units of a study (document, section or paragraph) from blocks, with an id and their text in order."""
     keys = {"document": ["doc_id"], "section": ["doc_id", "section"], "paragraph": ["doc_id", "para_id"]}[unit]
     rows = blocks.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("r"))
-    return rows.select(F.concat_ws(":", F.lit(unit), *(F.col(k).cast("string") for k in keys)).alias("unit_id"), *keys, F.array_join(F.transform("r", lambda x: x.text), "\n\n").alias("text"))
+    return rows.select(F.concat_ws(":", F.lit(unit), *(F.col(k).cast("string") for k in keys)).alias("unit_id"), *keys, F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def task_id(*parts: Column) -> Column:
