@@ -6,6 +6,9 @@ the child named by the coordinate and the document's value there. Nodes small en
 larger one first compares all its documents with one of them, whose duplicates leave the node, and then branches.
 Nodes that are still large at the greatest depth are compared exhaustively too, so none is dropped.
 
+Nodes hold a code of 2 bits of each value, a lossy filter well below the threshold; pairs that pass it are compared on all
+16 bits of each value.
+
 Documents with the very same set are one point of the join, and groups come out as connected components.
 """
 
@@ -98,38 +101,79 @@ def _binary(values: np.ndarray) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def _compare_runs(batches, least: int):
-    """All pairs within each run of equal nodes (rows come sorted by node) that agree in ``least`` coordinates."""
-    node, doc, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COORDINATES), np.uint16)
+def _codes(values: np.ndarray) -> np.ndarray:
+    """The lowest 2 bits of each value, in 4 integers."""
+    low = (values & np.uint16(3)).astype(np.uint64).reshape(-1, 4, 32)
+    return (low << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Coordinates in which codes agree."""
+    x = a ^ b
+    return COORDINATES - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+
+
+NODES = "node long, doc_id long, c0 long, c1 long, c2 long, c3 long"
+STEP = "node long, u long, v long"
+
+
+def _compare_runs(batches, least: int, limit: int | None):
+    """Runs of equal nodes (rows come sorted by node). A run of up to ``limit`` rows gives its pairs (u, v) that agree in
+    ``least`` coordinates, with node null; a longer one gives its documents (node, u), as they come."""
+    names = ("node", "doc_id", "c0", "c1", "c2", "c3")
+    held = {c: np.zeros(0, np.int64) for c in names}
+    passing = None  # the node of a run known to be long
+
+    def rows(node, u, v):
+        return pa.RecordBatch.from_arrays([node, pa.array(u), v], ["node", "u", "v"])
 
-    def pairs(node, doc, value):
-        us, vs, k = [], [], 1
-        alive = np.arange(len(node))
+    def whole(x):
+        """Pairs of complete runs; members of those that are long."""
+        node = x["node"]
+        if not len(node):
+            return
+        begin = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        size = np.diff(np.append(begin, len(node)))
+        long = np.repeat(size > (limit or len(node)), size)
+        if long.any():
+            yield rows(pa.array(node[long]), x["doc_id"][long], pa.nulls(int(long.sum()), pa.int64()))
+        node, doc = node[~long], x["doc_id"][~long]
+        code = np.stack([x[c][~long].view(np.uint64) for c in names[2:]], 1)
+        alive, k = np.arange(len(node)), 1
         while len(alive):
             alive = alive[alive + k < len(node)]
             alive = alive[node[alive] == node[alive + k]]
-            for i in range(0, len(alive), 65536):
-                a = alive[i : i + 65536]
-                hit = a[(value[a] == value[a + k]).sum(1) >= least]
-                us.append(doc[hit])
-                vs.append(doc[hit + k])
+            for i in range(0, len(alive), 1 << 17):
+                a = alive[i : i + (1 << 17)]
+                a = a[_agreeing(code[a], code[a + k]) >= least]
+                if len(a):
+                    yield rows(pa.nulls(len(a), pa.int64()), np.minimum(doc[a], doc[a + k]), pa.array(np.maximum(doc[a], doc[a + k])))
             k += 1
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for batch in batches:
-        node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
-        doc = np.concatenate([doc, batch.column("doc_id").to_numpy(zero_copy_only=False)])
-        value = np.concatenate([value, _values(batch.column("sketch"))])
-        if len(node):
-            whole = int(np.flatnonzero(node == node[-1])[0])
-            if whole:
-                yield pairs(node[:whole], doc[:whole], value[:whole])
-                node, doc, value = node[whole:], doc[whole:], value[whole:]
-    yield pairs(node, doc, value)
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, node_limit: int = 200, max_depth: int = 8) -> DataFrame:
+        held = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False)]) for c in names}
+        node = held["node"]
+        if passing is not None:
+            n = int(np.searchsorted(node != passing, True))
+            if n:
+                yield rows(pa.array(node[:n]), held["doc_id"][:n], pa.nulls(n, pa.int64()))
+                held = {c: v[n:] for c, v in held.items()}
+                node = held["node"]
+        if not len(node):
+            continue
+        passing = None
+        last = int(np.flatnonzero(node == node[-1])[0])
+        yield from whole({c: v[:last] for c, v in held.items()})
+        held = {c: v[last:] for c, v in held.items()}
+        if limit and len(held["node"]) > limit:
+            passing = held["node"][0]
+            n = len(held["node"])
+            yield rows(pa.array(held["node"]), held["doc_id"], pa.nulls(n, pa.int64()))
+            held = {c: v[:0] for c, v in held.items()}
+    yield from whole(held)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, node_limit: int = 200, max_depth: int = 8, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Rows (doc_id, kept_doc_id) for every document that repeats an earlier one: the least doc_id of its group stays.
 
     Groups are the connected components of pairs whose minwise values agree in a share of ``threshold`` or more (an
@@ -142,76 +186,92 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
     scratch = Scratch(docs.sparkSession)
     start = roots(trees, threshold)
     least = int(np.ceil(threshold * COORDINATES))
+    low = max(threshold - 0.12, 0.05)  # about three standard errors
+    code_least = int(COORDINATES * (low + (1 - low) / 4))
 
     def embed(batches):
         for part in slices(batches):
             values, prints = sketch(part.column("text"))
-            point, name = children(np.tile(start, part.num_rows), np.repeat(values, len(start), 0), threshold)
-            count = np.bincount(point // len(start), minlength=part.num_rows)
-            nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(name.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), _binary(values), nodes], ["doc_id", "p0", "p1", "sketch", "nodes"]
-            )
-
-    points = texts_of(docs).where("doc_id is not null").mapInArrow(embed, "doc_id long, p0 long, p1 long, sketch binary, nodes array<long>").where("p0 <> 0")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(prints[:, i].view(np.int64)) for i in (0, 1)), _binary(values)], ["doc_id", "p0", "p1", "sketch"])
+
+    points = texts_of(docs).where("doc_id is not null").mapInArrow(embed, "doc_id long, p0 long, p1 long, sketch binary").where("p0 <> 0")
     points = scratch.save(points, "points")
-    same = points.groupBy("p0", "p1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    same = scratch.save(same, "same")
-    copies = points.join(same.where("n > 1"), ["p0", "p1"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
-    copies = scratch.save(copies, "copies")
-    alone = points.join(same.select(F.col("rep").alias("doc_id"), "p0", "p1"), ["doc_id", "p0", "p1"], "left_semi").dropDuplicates(["doc_id"])
-    alone = scratch.save(alone.select("doc_id", "sketch", "nodes"), "distinct")
-    scratch.drop("points", "same")
-
-    places = alone.select("doc_id", F.explode("nodes").alias("node"))
-    shared = places.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    live = places.join(shared, "node").join(alone.select("doc_id", "sketch"), "doc_id").select("node", "size", "doc_id", "sketch")
-    live = scratch.save(live, "level1")
-    edges = None
+    same = points.groupBy("p0", "p1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
+    copies = scratch.save(points.join(same, ["p0", "p1"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "copies")
+    sketches = points.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    sketches = scratch.save(sketches, "distinct")
+    scratch.drop("points")
+    scratch.release()
+
+    def first_level(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                values = _values(part.column("sketch"))
+                point, name = children(np.tile(start, part.num_rows), np.repeat(values, len(start), 0), threshold)
+                yield _members(part.column("doc_id"), point // len(start), name, _codes(values))
+
+    members, edges = sketches.mapInArrow(first_level, NODES), []
     for depth in range(1, max_depth + 1):
-        small = live if depth == max_depth else live.where(F.col("size") <= node_limit)
-        ordered = small.select("node", "doc_id", "sketch").repartition("node").sortWithinPartitions("node", "doc_id")
-        found = ordered.mapInArrow(lambda batches: _compare_runs(batches, least), "u long, v long").distinct()
-        edges = scratch.save(found, f"edges{depth}") if edges is None else edges.union(scratch.save(found, f"edges{depth}"))
-        if depth == max_depth:
-            break
-        large = live.where(F.col("size") > node_limit)
-        if large.isEmpty():
-            break
+        limit = node_limit if depth < max_depth else None
+        ordered = members.repartition("node").sortWithinPartitions("node")
+        step = scratch.save(ordered.mapInArrow(lambda batches, limit=limit: _compare_runs(batches, code_least, limit), STEP), f"step{depth}")
+        scratch.release()
+        edges.append(step.where("node is null").select("u", "v"))
+        large = step.where("node is not null").select("node", F.col("u").alias("doc_id"))
         turn = F.xxhash64("doc_id", "node")
-        pivots = large.groupBy("node").agg(F.min_by(F.struct("doc_id", "sketch"), F.struct(turn, "doc_id")).alias("pivot"))
-        star = large.join(pivots.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node")).select("node", "doc_id", "sketch", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.sketch").alias("p_sketch"))
+        pivots = large.groupBy("node").agg(F.min_by("doc_id", F.struct(turn, "doc_id")).alias("doc_id"))
+        pivots = pivots.join(sketches, "doc_id").select(F.col("node").alias("p_node"), F.col("doc_id").alias("pivot"), F.col("sketch").alias("p_sketch"))
+        pivots = scratch.save(pivots, f"pivots{depth}")
+        n = pivots.count()
+        if not n:
+            break
+        small = n * (2 * COORDINATES + 48) <= broadcast_bytes
+        star = large.join(sketches, "doc_id").join(F.broadcast(pivots) if small else pivots, F.col("node") == F.col("p_node")).select("node", "doc_id", "sketch", "pivot", "p_sketch")
 
         def branch(batches):
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                values, pivot = _values(batch.column("sketch")), _values(batch.column("p_sketch"))
-                doc, lead = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pivot"))
-                close = (values == pivot).sum(1) >= least
-                rest = np.flatnonzero(~close)
-                point, name = children(batch.column("node").to_numpy(zero_copy_only=False)[rest].view(np.uint64), values[rest], threshold)
-                point = rest[point]
-                hit = np.flatnonzero(close & (doc != lead))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([lead[hit], np.zeros(len(point), np.int64)])),
-                        pa.array(np.concatenate([doc[hit], doc[point]])),
-                        pa.array(np.concatenate([np.zeros(len(hit), np.int64), name.view(np.int64)])),
-                        pa.array(np.concatenate([np.zeros(len(hit), bool), np.ones(len(point), bool)])),
-                        pa.concat_arrays([pa.nulls(len(hit), pa.binary()), batch.column("sketch").take(pa.array(point))]),
-                    ],
-                    ["lead", "doc_id", "node", "goes_on", "sketch"],
-                )
-
-        stepped = scratch.save(star.mapInArrow(branch, "lead long, doc_id long, node long, goes_on boolean, sketch binary"), f"branch{depth}")
-        edges = edges.union(stepped.where("not goes_on").select(F.col("lead").alias("u"), F.col("doc_id").alias("v")))
-        onward = stepped.where("goes_on").select("node", "doc_id", "sketch")
-        shared = onward.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        live = scratch.save(onward.join(shared, "node").select("node", "size", "doc_id", "sketch"), f"level{depth + 1}")
-        scratch.drop(f"level{depth}")
-
-    groups = connected_components(edges)
+                for i in range(0, batch.num_rows, 20_000):
+                    part = batch.slice(i, 20_000)
+                    values, pivot = _values(part.column("sketch")), _values(part.column("p_sketch"))
+                    doc, lead = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pivot"))
+                    close = (values == pivot).sum(1) >= least
+                    rest = np.flatnonzero(~close)
+                    point, name = children(part.column("node").to_numpy(zero_copy_only=False)[rest].view(np.uint64), values[rest], threshold)
+                    yield _members(part.column("doc_id"), rest[point], name, _codes(values))
+                    hit = np.flatnonzero(close & (doc != lead))
+                    none = pa.nulls(len(hit), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array(doc[hit]), pa.array(lead[hit]), none, none, none], ["node", "doc_id", "c0", "c1", "c2", "c3"])
+
+        branched = scratch.save(star.mapInArrow(branch, NODES), f"branch{depth}")
+        edges.append(branched.where("node is null").select(F.least("doc_id", "c0").alias("u"), F.greatest("doc_id", "c0").alias("v")))
+        members = branched.where("node is not null")
+
+    pairs = scratch.save(_union(edges).distinct(), "pairs")
+    scratch.release()
+    sides = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def verify(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 20_000):
+                part = batch.slice(i, 20_000)
+                ok = (_values(part.column("a")) == _values(part.column("b"))).sum(1) >= least
+                yield part.select(["u", "v"]).filter(pa.array(ok))
+
+    groups = connected_components(sides.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
     linked = copies.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("kept_doc_id"))
     own = groups.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
     return linked.union(own).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
+
+
+def _members(doc_ids: pa.Array, point: np.ndarray, name: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(name.view(np.int64)), doc_ids.take(pa.array(point)), *(pa.array(codes[point, i].view(np.int64)) for i in range(4))], ["node", "doc_id", "c0", "c1", "c2", "c3"]
+    )
