@@ -89,7 +89,9 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                     whole = max(1, b["chars"])
                     rows.append((key_, i, b["tag"] or None, b["text"], at, at + len(b["text"]), level, b["bold"] == whole, b["italic"] == whole, b["notes"]))
                     at += len(b["text"]) + 2
-            frame = pd.DataFrame(rows, columns=["doc_id", "block_idx", "tag", "text", "char_start", "char_end", "heading_level", "bold", "italic", "footnotes"])
+            if not rows:
+                continue
+            frame = pd.DataFrame(rows, dtype=object, columns=["doc_id", "block_idx", "tag", "text", "char_start", "char_end", "heading_level", "bold", "italic", "footnotes"])
             frame["heading_level"] = frame["heading_level"].astype("Int32")
             yield frame
 

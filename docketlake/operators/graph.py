@@ -85,7 +85,8 @@ def betweenness(edges: DataFrame, pivots: int | None = None, seed: int = 42, nor
                         share[v] += count[v] / count[x] * (1 + share[x])
                     if x != s:
                         total[x] = total.get(x, 0.0) + share[x]
-        yield pd.DataFrame({"node": list(total), "part": list(total.values())})
+        if total:
+            yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "part": list(total.values())})
 
     n = len(names)
     factor = scale / ((n - 1) * (n - 2)) if normalised and n > 2 else scale

@@ -36,7 +36,7 @@ def register_tables(spark: SparkSession, folder: str, names=NAMES) -> list[str]:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None) -> DataFrame:
     fmt = fmt or READERS[Path(path).suffix]
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    reader = spark.read.option("header", True).option("escape", '"') if fmt == "csv" else spark.read
     if schema:
         reader = reader.schema(schema)
     return reader.format(fmt).load(path)
