@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,18 +91,20 @@ def resolve_keypoint(keypoints: DataFrame, query: str) -> DataFrame:
     return (keypoints.where(F.lower("label").contains(q)) if exact.isEmpty() else exact).select("id")
 
 
-def ancestors(keypoints: DataFrame) -> DataFrame:
-    """Every keypoint with all keypoints above it, level by level; a cycle ends where it would repeat."""
-    up = keypoints.where("parent is not null").select("id", "parent")
-    level = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    found, distance = level, 1
-    while not level.isEmpty():
-        distance += 1
-        step = up.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-        level = level.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(distance).alias("distance"))
-        level = level.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").where("id <> ancestor")
-        found = found.union(level)
-    return found
+def ancestors(keypoints: DataFrame, save=None) -> DataFrame:
+    """Every keypoint with all keypoints above it, level by level; a cycle ends where it would repeat. ``save`` cuts lineage (by default ``checkpoint``)."""
+    save = save or (lambda df: df.checkpoint())
+    up = save(keypoints.where("parent is not null").select("id", "parent"))
+    step = up.select(F.col("id").alias("__from"), F.col("parent").alias("__next"))
+    level = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("id", "parent").alias("path"))
+    found = []
+    while True:
+        level = save(level)
+        found.append(level.select("id", "ancestor", "distance"))
+        level = level.join(step, F.col("ancestor") == F.col("__from")).where(~F.array_contains("path", F.col("__next")))
+        level = level.select("id", F.col("__next").alias("ancestor"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("__next")).alias("path"))
+        if level.isEmpty():
+            return reduce(DataFrame.union, found)
 
 
 def merge_authorities(editions: DataFrame) -> DataFrame:

@@ -16,7 +16,10 @@ from docketlake.operators import quality as QM
 from docketlake.operators import records as R
 from docketlake.operators import reconcile as RC
 from docketlake.operators import retrieval as RT
+from docketlake.operators import reference_data as RD
+from docketlake.operators import spans as SP
 from docketlake.operators import studies as ST
+from docketlake.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,6 +430,81 @@ def scalar_cleaning(t):
     return s.select("s_suppkey", F.lower(S.split_list(packed)[0]).alias("name"), F.when(~F.isnan(balance), balance).alias("balance"), S.normalise_ecli(F.col("s_name")).alias("code"))
 
 
+@query("""
+WITH s AS (SELECT l_suppkey AS doc_id, l_orderkey % 5000 AS a, l_orderkey % 5000 + l_quantity::INT * 8 AS b, l_orderkey * 7 + l_linenumber AS id FROM lineitem)
+SELECT x.doc_id, x.id, y.id AS other FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.a < y.b AND y.a < x.b WHERE x.id % 50 = 0 AND y.id % 7 = 0
+""")
+def interval_overlap_join(t):
+    spans = t("lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 5000).alias("start"), (F.col("l_orderkey") % 5000 + F.col("l_quantity").cast("int") * 8).alias("end"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("id"))
+    return SP.overlapping(spans.where("id % 50 = 0"), spans.where("id % 7 = 0").withColumnRenamed("id", "other"), "doc_id").select("doc_id", "id", "other")
+
+
+@query("""
+WITH s AS (SELECT 'a' || (l_partkey % 300) AS annotation_id, 'c' || l_suppkey AS candidate_id, sum(l_quantity)::INT AS score FROM lineitem GROUP BY ALL),
+b AS (SELECT *, max(score) OVER (PARTITION BY annotation_id) AS m FROM s), p AS (SELECT annotation_id, candidate_id, score FROM b WHERE score = m QUALIFY count(*) OVER (PARTITION BY annotation_id) = 1),
+l AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY candidate_id, score) = 1)
+SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC) = 1
+""")
+def greedy_alignment(t):
+    pairs = t("lineitem").groupBy(F.concat(F.lit("a"), (F.col("l_partkey") % 300).cast("string")).alias("annotation_id"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("candidate_id"))
+    return SP.align(pairs.agg(F.sum("l_quantity").cast("int").alias("score")))
+
+
+@query("WITH RECURSIVE k AS (SELECT p_partkey AS id, p_partkey // 3 AS parent FROM part WHERE p_partkey // 3 > 0), r AS (SELECT id, parent AS ancestor, 1 AS distance FROM k UNION ALL SELECT r.id, k.parent, distance + 1 FROM r JOIN k ON r.ancestor = k.id) SELECT id::VARCHAR AS id, ancestor::VARCHAR AS ancestor, distance FROM r")
+def keypoint_ancestors(t):
+    up = F.floor(F.col("p_partkey") / 3)
+    return RD.ancestors(t("part").select(F.col("p_partkey").cast("string").alias("id"), "p_name", F.when(up > 0, up.cast("string")).alias("parent")), _cut(t))
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'ENG' WHEN 'fr' THEN 'FRE' ELSE upper(lang) END AS l, CASE doc_id % 4 WHEN 0 THEN 'HEJUD' WHEN 1 THEN 'HEDEC' WHEN 2 THEN 'CLIN' ELSE 'X' END AS k FROM documents)
+SELECT doc_id, CASE k WHEN 'CLIN' THEN 'legal_summary' WHEN 'HEJUD' THEN 'judgment' WHEN 'HEDEC' THEN 'decision' ELSE 'other' END AS document_kind,
+  CASE WHEN k = 'CLIN' AND l NOT IN ('ENG', 'FRE') THEN 'translated_summary' WHEN k = 'CLIN' THEN 'official_summary' WHEN l NOT IN ('ENG', 'FRE') THEN 'translation' ELSE 'official_text' END AS rendition_kind FROM c
+""")
+def version_kinds(t):
+    kind = F.get(F.array(*(F.lit(x) for x in ("HEJUD", "HEDEC", "CLIN", "X"))), (F.col("doc_id") % 4).cast("int"))
+    lang = F.when(F.col("lang") == "en", "ENG").when(F.col("lang") == "fr", "FRE").otherwise(F.upper("lang"))
+    return RD.versions(t("documents").select("doc_id", lang.alias("language"), kind.alias("doctype"), F.lit("A v. B").alias("docname"))).select("doc_id", "document_kind", "rendition_kind")
+
+
+@query("SELECT date_trunc('day', ts) AS \"start\", date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS records, round(sum(value), 6) AS cost_usd FROM events GROUP BY ALL")
+def windowed_log_totals(t):
+    rows = t("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cost_usd"))
+    return logs.windowed_totals(rows, "ts", "1 day", ["event_type"])
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'click') AS ok, count(*) FILTER (WHERE event_type = 'view') AS error, 0::BIGINT AS skipped, sum(user_id)::BIGINT AS input_tokens, sum(event_id)::BIGINT AS output_tokens, round(sum(value), 2) AS cost_usd FROM events")
+def pipeline_run_totals(t):
+    status = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "view", "error").otherwise("other")
+    log = t("events").select(status.alias("status"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"), F.col("value").alias("cost_usd"))
+    return R.run_totals(log).withColumn("cost_usd", F.round("cost_usd", 2))
+
+
+@query("SELECT d.doc_id::VARCHAR AS itemid, coalesce(own.text, other.text) IS NOT NULL AS has_text, CASE WHEN own.doc_id IS NOT NULL THEN d.doc_id::VARCHAR WHEN other.doc_id IS NOT NULL THEN (d.doc_id // 2)::VARCHAR END AS source_itemid FROM documents d LEFT JOIN documents own ON own.doc_id = d.doc_id AND own.doc_id % 2 = 0 LEFT JOIN documents other ON other.doc_id = d.doc_id // 2 AND other.doc_id % 2 = 0")
+def hydrate_texts(t):
+    docs = t("documents")
+    cases = docs.select(F.col("doc_id").cast("string").alias("itemid"), F.floor(F.col("doc_id") / 2).cast("string").alias("french_itemid"))
+    texts = docs.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("itemid"), "text", F.col("lang").alias("language"))
+    return RC.hydrate(cases, texts).select("itemid", F.col("text").isNotNull().alias("has_text"), "source_itemid")
+
+
+@query("WITH p AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) SELECT 'paragraph:' || doc_id AS unit_id, count(*) AS paragraphs, sum(length(x))::BIGINT AS chars FROM p WHERE x <> '' GROUP BY doc_id")
+def paragraph_units(t):
+    rows = RT.paragraphs(t("documents")).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
+    return rows.select(F.concat_ws(":", F.lit("paragraph"), F.col("doc_id").cast("string")).alias("unit_id"), "paragraphs", "chars")
+
+
+@query()
+def exclusive_spans(t):
+    spans = t("lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 5000).alias("start"), (F.col("l_orderkey") % 5000 + 20).alias("end"), F.col("l_linenumber").alias("strength"))
+    return SP.select_spans(spans, ["doc_id"])
+
+
+@query()
+def section_blocks(t):
+    return B.sections(B.text_blocks(t("documents"))).groupBy("doc_id", "section").agg(F.count("*").alias("blocks"))
+
+
 def _cut(t):
     """Checkpoints where the session has a folder for them, else plain plans (a few rounds over a small graph)."""
 
