@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlake.llm import curriculum, exact_search, line_dedup, url_filter
+from docketlake.llm import curriculum, exact_search, line_dedup, suffix_dedup, url_filter
 from docketlake.llm.language_crf import label_languages
 from docketlake.llm.near_duplicates import near_duplicates
 from docketlake.llm.packing import pack_documents
 from docketlake.llm.pii_bootstrap import find_identifiers
 from docketlake.llm.robust_quality import reject_outliers
-from docketlake.llm.suffix_dedup import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +29,7 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_docs(spark, sf_dir))
+    return suffix_dedup.repeated_passages(_docs(spark, sf_dir))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.SQL, "op6_curriculum_mix": curriculum.SQL, "op8_url_equivalence": url_filter.SQL, "op10_exact_search": exact_search.SQL}
+    return {"op3_prefix_free_parsing": suffix_dedup.SQL, "op4_line_dedup": line_dedup.SQL, "op6_curriculum_mix": curriculum.SQL, "op8_url_equivalence": url_filter.SQL, "op10_exact_search": exact_search.SQL}

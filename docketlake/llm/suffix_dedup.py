@@ -236,3 +236,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     steps = ranges.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = steps.groupBy("doc_id", "is_first", "passage").agg(F.min("start").alias("first_word"), F.max("stop").alias("stop"))
     return spans.select("doc_id", "first_word", (F.col("stop") - F.col("first_word")).alias("n_words"), "is_first")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+'), lambda w: trim(w, '.,;:!?"''()[]{}%*#$&')), lambda w: w <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i - 1 AS place, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+r AS (SELECT doc_id, place, (doc_id, place) = min((doc_id, place)) OVER (PARTITION BY g) AS is_first FROM p QUALIFY count(*) OVER (PARTITION BY g) > 1),
+n AS (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id, is_first ORDER BY place) + 50 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY place) AS passage FROM n)
+SELECT doc_id, min(place)::INT AS first_word, (max(place) + 50 - min(place))::INT AS n_words, is_first FROM s GROUP BY doc_id, is_first, passage
+"""
