@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +69,58 @@ def unit_vector(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 25) -> DataFrame:
-    """Exact cosine neighbours of every query vector; the query table is spread to the vectors, and ranks are cut before the shuffle."""
-    scored = vectors.select(key, unit_vector(F.col("embedding")).alias("v")).crossJoin(queries.select(F.col(query_key).alias("query_id"), unit_vector(F.col("embedding")).alias("q")))
-    scored = scored.select("query_id", key, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+def _query_blocks(queries: DataFrame, rows: int):
+    """Query ids and unit-length matrices, streamed through the driver in blocks of bounded size."""
+    ids, vectors = [], []
+    for r in queries.toLocalIterator():
+        ids.append(r[0])
+        vectors.append(r[1])
+        if len(ids) == rows:
+            yield ids, _unit(np.array(vectors, float))
+            ids, vectors = [], []
+    if ids:
+        yield ids, _unit(np.array(vectors, float))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1, norm)
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 25, block_rows: int = 4096) -> DataFrame:
+    """Exact cosine neighbours of every query vector: rows (query_id, key, score, rank), equal scores in order of the key.
+
+    Blocks of queries go to the vectors, whose batches are scored by one matrix product; each batch sends on its best
+    ``k`` of every query (and what ties with them), so what is shuffled doesn't depend on the vectors' size. Null vectors are left out.
+    """
+    kinds, spark = dict(vectors.dtypes), vectors.sparkSession
+    table = vectors.where("embedding is not null").select(key, "embedding")
+    asked = queries.where("embedding is not null").select(query_key, "embedding")
+    schema = f"row long, {key} {kinds[key]}, score double"
+    found = None
+    for ids, matrix in _query_blocks(asked, block_rows):
+        shared = spark.sparkContext.broadcast(matrix)
+
+        def score(batches, shared=shared):
+            q = shared.value
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)
+                scores = np.round(q @ _unit(flat.reshape(n, -1)).T, 6) + 0.0
+                least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+                row, at = np.nonzero(scores >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(key).take(pa.array(at)), pa.array(scores[row, at])], ["row", key, "score"])
+
+        names = spark.createDataFrame(list(enumerate(ids)), f"row long, query_id {dict(queries.dtypes)[query_key]}")
+        rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), key))
+        best = table.mapInArrow(score, schema).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        best = best.join(F.broadcast(names), "row").select("query_id", key, "score", "rank")
+        found = best if found is None else found.union(best)
+    if found is None:
+        return table.select(F.lit(None).cast(dict(queries.dtypes)[query_key]).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    return found
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, top_k: int, rrf_k: int = 60, scores: tuple[str, ...] = ("lexical_score", "dense_score")) -> DataFrame:
