@@ -6,8 +6,9 @@ the child named by the coordinate and the document's value there. Nodes small en
 larger one first compares all its documents with one of them, whose duplicates leave the node, and then branches.
 Nodes that are still large at the greatest depth are compared exhaustively too, so none is dropped.
 
-Nodes hold a code of 2 bits of each value, a lossy filter well below the threshold; pairs that pass it are compared on all
-16 bits of each value.
+Nodes hold a code of 2 bits of each value. Its estimate decides pairs that are three standard errors or more from the
+threshold; those between are compared on all 16 bits of each value. Of pairs that are surely similar a node gives a
+spanning forest, so a group of copies costs as many edges as it has documents.
 
 Documents with the very same set are one point of the join, and groups come out as connected components.
 """
@@ -114,18 +115,37 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 NODES = "node long, doc_id long, c0 long, c1 long, c2 long, c3 long"
-STEP = "node long, u long, v long"
+STEP = "node long, u long, v long, sure boolean"
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least element of each element's component under the links i-j."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
 
-def _compare_runs(batches, least: int, limit: int | None):
-    """Runs of equal nodes (rows come sorted by node). A run of up to ``limit`` rows gives its pairs (u, v) that agree in
-    ``least`` coordinates, with node null; a longer one gives its documents (node, u), as they come."""
+def _compare_runs(batches, least: int, surely: int, limit: int | None):
+    """Runs of equal nodes (rows come sorted by node). A run of up to ``limit`` rows gives pairs (u, v), with node null: a
+    forest of those that agree in ``surely`` coordinates, and those between its trees that agree in ``least``; a longer run
+    gives its documents (node, u), as they come."""
     names = ("node", "doc_id", "c0", "c1", "c2", "c3")
     held = {c: np.zeros(0, np.int64) for c in names}
     passing = None  # the node of a run known to be long
 
-    def rows(node, u, v):
-        return pa.RecordBatch.from_arrays([node, pa.array(u), v], ["node", "u", "v"])
+    def rows(node, u, v, sure=False):
+        return pa.RecordBatch.from_arrays([node, pa.array(u), v, pa.array(np.full(len(u), sure))], ["node", "u", "v", "sure"])
+
+    def pairs(doc, i, j, sure):
+        return rows(pa.nulls(len(i), pa.int64()), np.minimum(doc[i], doc[j]), pa.array(np.maximum(doc[i], doc[j])), sure)
 
     def whole(x):
         """Pairs of complete runs; members of those that are long."""
@@ -140,15 +160,27 @@ def _compare_runs(batches, least: int, limit: int | None):
         node, doc = node[~long], x["doc_id"][~long]
         code = np.stack([x[c][~long].view(np.uint64) for c in names[2:]], 1)
         alive, k = np.arange(len(node)), 1
+        label, open_ = np.arange(len(node)), [np.zeros((2, 0), np.int64)]
         while len(alive):
             alive = alive[alive + k < len(node)]
             alive = alive[node[alive] == node[alive + k]]
-            for i in range(0, len(alive), 1 << 17):
-                a = alive[i : i + (1 << 17)]
-                a = a[_agreeing(code[a], code[a + k]) >= least]
-                if len(a):
-                    yield rows(pa.nulls(len(a), pa.int64()), np.minimum(doc[a], doc[a + k]), pa.array(np.maximum(doc[a], doc[a + k])))
+            apart = alive[label[alive] != label[alive + k]]
+            for i in range(0, len(apart), 1 << 17):
+                a = apart[i : i + (1 << 17)]
+                agree = _agreeing(code[a], code[a + k])
+                near = agree >= least
+                a, agree = a[near], agree[near]
+                sure = a[agree >= surely]
+                if len(sure):
+                    label = np.minimum(label, _forest(len(node), np.concatenate([sure, np.arange(len(node))]), np.concatenate([sure + k, label])))
+                rest = a[agree < surely]
+                open_.append(np.stack([rest, rest + k]))
             k += 1
+        tied = np.flatnonzero(label != np.arange(len(node)))
+        yield pairs(doc, tied, label[tied], True)
+        i, j = np.concatenate(open_, 1)
+        left = label[i] != label[j]
+        yield pairs(doc, i[left], j[left], False)
 
     for batch in batches:
         held = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False)]) for c in names}
@@ -187,7 +219,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
     start = roots(trees, threshold)
     least = int(np.ceil(threshold * COORDINATES))
     low = max(threshold - 0.12, 0.05)  # about three standard errors
-    code_least = int(COORDINATES * (low + (1 - low) / 4))
+    high = min(threshold + 0.16, 0.95)
+    code_least, code_sure = (int(np.ceil(COORDINATES * (x + (1 - x) / 4))) for x in (low, high))
 
     def embed(batches):
         for part in slices(batches):
@@ -211,13 +244,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
                 point, name = children(np.tile(start, part.num_rows), np.repeat(values, len(start), 0), threshold)
                 yield _members(part.column("doc_id"), point // len(start), name, _codes(values))
 
-    members, edges = sketches.mapInArrow(first_level, NODES), []
+    members, edges, doubtful = sketches.mapInArrow(first_level, NODES), [], []
     for depth in range(1, max_depth + 1):
         limit = node_limit if depth < max_depth else None
         ordered = members.repartition("node").sortWithinPartitions("node")
-        step = scratch.save(ordered.mapInArrow(lambda batches, limit=limit: _compare_runs(batches, code_least, limit), STEP), f"step{depth}")
+        step = scratch.save(ordered.mapInArrow(lambda batches, limit=limit: _compare_runs(batches, code_least, code_sure, limit), STEP), f"step{depth}")
         scratch.release()
-        edges.append(step.where("node is null").select("u", "v"))
+        doubtful.append(step.where("node is null and not sure").select("u", "v"))
+        edges.append(step.where("node is null and sure").select("u", "v"))
         large = step.where("node is not null").select("node", F.col("u").alias("doc_id"))
         turn = F.xxhash64("doc_id", "node")
         pivots = large.groupBy("node").agg(F.min_by("doc_id", F.struct(turn, "doc_id")).alias("doc_id"))
@@ -247,7 +281,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
         edges.append(branched.where("node is null").select(F.least("doc_id", "c0").alias("u"), F.greatest("doc_id", "c0").alias("v")))
         members = branched.where("node is not null")
 
-    pairs = scratch.save(_union(edges).distinct(), "pairs")
+    pairs = scratch.save(_union(doubtful).distinct(), "pairs")
     scratch.release()
     sides = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
 
@@ -258,7 +292,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
                 ok = (_values(part.column("a")) == _values(part.column("b"))).sum(1) >= least
                 yield part.select(["u", "v"]).filter(pa.array(ok))
 
-    groups = connected_components(sides.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    checked = sides.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    groups = connected_components(_union([*edges, checked]))
     linked = copies.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("kept_doc_id"))
     own = groups.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
     return linked.union(own).distinct()

@@ -67,3 +67,10 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id, r.kept_doc_id) for r in near_duplicates(docs).collect())
     assert got == [(5, 3), (12, 11), (14, 13), (16, 13)]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_forest():
+    from docketlake.llm.near_duplicates import _forest
+
+    assert _forest(6, np.array([5, 3, 1]), np.array([3, 1, 2])).tolist() == [0, 1, 1, 1, 4, 1]
+    assert _forest(3, np.array([], int), np.array([], int)).tolist() == [0, 1, 2]
