@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
                 point, name = children(np.tile(start, part.num_rows), np.repeat(values, len(start), 0), threshold)
                 yield _members(part.column("doc_id"), point // len(start), name, _codes(values))
 
+    pool = sketches
     members, edges, doubtful = sketches.mapInArrow(first_level, NODES), [], []
     for depth in range(1, max_depth + 1):
         limit = node_limit if depth < max_depth else None
@@ -253,15 +254,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
         doubtful.append(step.where("node is null and not sure").select("u", "v"))
         edges.append(step.where("node is null and sure").select("u", "v"))
         large = step.where("node is not null").select("node", F.col("u").alias("doc_id"))
+        if large.isEmpty():
+            break
+        # only documents of large nodes are asked for from here on, so fewer move at every level
+        pool = scratch.save(pool.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), f"pool{depth}")
         turn = F.xxhash64("doc_id", "node")
         pivots = large.groupBy("node").agg(F.min_by("doc_id", F.struct(turn, "doc_id")).alias("doc_id"))
-        pivots = pivots.join(sketches, "doc_id").select(F.col("node").alias("p_node"), F.col("doc_id").alias("pivot"), F.col("sketch").alias("p_sketch"))
+        pivots = pivots.join(pool, "doc_id").select(F.col("node").alias("p_node"), F.col("doc_id").alias("pivot"), F.col("sketch").alias("p_sketch"))
         pivots = scratch.save(pivots, f"pivots{depth}")
-        n = pivots.count()
-        if not n:
-            break
-        small = n * (2 * COORDINATES + 48) <= broadcast_bytes
-        star = large.join(sketches, "doc_id").join(F.broadcast(pivots) if small else pivots, F.col("node") == F.col("p_node")).select("node", "doc_id", "sketch", "pivot", "p_sketch")
+        small = pivots.count() * (2 * COORDINATES + 48) <= broadcast_bytes
+        star = large.join(pool, "doc_id").join(F.broadcast(pivots) if small else pivots, F.col("node") == F.col("p_node")).select("node", "doc_id", "sketch", "pivot", "p_sketch")
 
         def branch(batches):
             for batch in batches:
