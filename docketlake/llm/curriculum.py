@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.common import Scratch
 
+BROADCAST_SOURCES = 50_000
 TOKENS = "coalesce(regexp_count(cast(text as string), '[^ \\\\t\\\\n\\\\r]+'), 0)"
 
 
@@ -61,7 +62,10 @@ def training_positions(rows: DataFrame, counts: DataFrame, schedule: DataFrame |
     else:
         table = table.withColumn("budget", F.lit(float(token_budget)))
     table = table.join(parts, "source").groupBy("source", "supply", "share", "budget").agg(F.sort_array(F.collect_list(F.struct("t0", "t1", "w0", "w1", "area", "start"))).alias("parts"))
-    table = table.withColumnRenamed("source", "s_source")
+    # as many rows as there are sources; a join by source would gather the largest source in one task
+    table = Scratch(rows.sparkSession).save(table.withColumnRenamed("source", "s_source"), "schedule")
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
 
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(buckets, (F.col("source") == F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
