@@ -3,7 +3,9 @@
 A document is the set of its word 3-grams, embedded as ``COORDINATES`` minwise values. In each of several independent
 trees, every node picks coordinates at random (1/threshold of them are expected) and sends each document to
 the child named by the coordinate and the document's value there. Nodes small enough are compared exhaustively; a
-larger one first compares all its documents with one of them, whose duplicates leave the node, and then branches.
+larger one first compares all its documents with one of them, the pivot, which leaves the node, and then branches. A
+duplicate of the pivot leaves with it only if no other member can be a duplicate of that document: differing values are a
+metric, so the numbers that differ from the pivot tell. All others go on branching.
 Nodes that are still large at the greatest depth are compared exhaustively too, so none is dropped.
 
 Nodes hold a code of 2 bits of each value. Its estimate decides pairs that are three standard errors or more from the
@@ -265,23 +267,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 8, no
         small = pivots.count() * (2 * COORDINATES + 48) <= broadcast_bytes
         star = large.join(pool, "doc_id").join(F.broadcast(pivots) if small else pivots, F.col("node") == F.col("p_node")).select("node", "doc_id", "sketch", "pivot", "p_sketch")
 
+        def compare(batches):
+            for batch in batches:
+                for i in range(0, batch.num_rows, 20_000):
+                    part = batch.slice(i, 20_000)
+                    agree = (_values(part.column("sketch")) == _values(part.column("p_sketch"))).sum(1)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "doc_id", "pivot")), pa.array(agree.astype(np.int32))], ["node", "doc_id", "pivot", "agree"])
+
+        stars = scratch.save(star.mapInArrow(compare, "node long, doc_id long, pivot long, agree int"), f"stars{depth}")
+        scratch.release()
+        edges.append(stars.where(f"agree >= {least} and doc_id <> pivot").select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")))
+        nearest = stars.where(f"agree < {least}").groupBy("node").agg(F.max("agree").alias("nearest"))
+        stay = stars.where("doc_id <> pivot").join(nearest, "node").where(f"agree < {least} or agree - nearest <= {COORDINATES - least}").select("node", "doc_id")
+
         def branch(batches):
             for batch in batches:
                 for i in range(0, batch.num_rows, 20_000):
                     part = batch.slice(i, 20_000)
-                    values, pivot = _values(part.column("sketch")), _values(part.column("p_sketch"))
-                    doc, lead = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pivot"))
-                    close = (values == pivot).sum(1) >= least
-                    rest = np.flatnonzero(~close)
-                    point, name = children(part.column("node").to_numpy(zero_copy_only=False)[rest].view(np.uint64), values[rest], threshold)
-                    yield _members(part.column("doc_id"), rest[point], name, _codes(values))
-                    hit = np.flatnonzero(close & (doc != lead))
-                    none = pa.nulls(len(hit), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(doc[hit]), pa.array(lead[hit]), none, none, none], ["node", "doc_id", "c0", "c1", "c2", "c3"])
-
-        branched = scratch.save(star.mapInArrow(branch, NODES), f"branch{depth}")
-        edges.append(branched.where("node is null").select(F.least("doc_id", "c0").alias("u"), F.greatest("doc_id", "c0").alias("v")))
-        members = branched.where("node is not null")
+                    values = _values(part.column("sketch"))
+                    point, name = children(part.column("node").to_numpy(zero_copy_only=False).view(np.uint64), values, threshold)
+                    yield _members(part.column("doc_id"), point, name, _codes(values))
+
+        members = scratch.save(stay.join(pool, "doc_id").select("node", "doc_id", "sketch").mapInArrow(branch, NODES), f"branch{depth}")
 
     pairs = scratch.save(_union(doubtful).distinct(), "pairs")
     scratch.release()

@@ -74,3 +74,22 @@ def test_forest():
 
     assert _forest(6, np.array([5, 3, 1]), np.array([3, 1, 2])).tolist() == [0, 1, 1, 1, 4, 1]
     assert _forest(3, np.array([], int), np.array([], int)).tolist() == [0, 1, 2]
+
+
+def test_star_larger_than_a_node(spark):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(5000)]
+    base = list(rng.choice(words, 200))
+    texts = {0: base}
+    for i in range(1, 601):  # each resembles the original (about 0.57), few resemble each other (about 0.36)
+        text = list(base)
+        for at in rng.choice(200, 20, replace=False):
+            text[at] = rng.choice(words)
+        texts[i] = text
+    sets = {i: grams(" ".join(t)) for i, t in texts.items()}
+    near = [i for i in range(1, 601) if len(sets[i] & sets[0]) / len(sets[i] | sets[0]) >= 0.5]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.kept_doc_id for r in near_duplicates(docs).collect()}
+    assert len(near) > 500
+    caught = sum(got.get(i) == 0 for i in near) / len(near)
+    assert caught >= 0.97, caught
