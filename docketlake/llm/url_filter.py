@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.components import connected_components
 
-BLOCK_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "free-bets.example.com", "casino-win.example.org")
+BLOCK_NAMES = ("spam-farm", "cheap-pills", "free-bets", "casino-win")
 TRACKING = "(utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 
 
@@ -56,31 +56,36 @@ def page_links(pages: DataFrame) -> DataFrame:
     return links.select(normalise(F.col("url")).alias("u"), normalise(resolve(F.col("url"), F.col("link"))).alias("v")).where("u <> v")
 
 
-def _matches(urls: DataFrame, hosts: tuple[str, ...], exact: tuple[str, ...], name: str) -> DataFrame:
-    """Of ``urls`` (url), those on one of the hosts or a subdomain of it, or equal to an exact URL after normalisation."""
+def _matches(urls: DataFrame, hosts: tuple[str, ...], exact: tuple[str, ...], name: str, labels_of: tuple[str, ...] = ()) -> DataFrame:
+    """Of ``urls`` (url), those on one of the hosts or a subdomain of it, on a host with one of the labels before its last, or equal to an exact URL after normalisation."""
     spark = urls.sparkSession
     rules = spark.createDataFrame([(h.lower(),) for h in hosts], "rule string")
     links = spark.createDataFrame([(u,) for u in exact], "raw string").select(normalise(F.col("raw")).alias("rule")).where("rule is not null")
     labels = F.split(host_of(F.col("url")), r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    by_host = urls.select("url", suffix.alias("suffix")).join(rules, F.col("suffix") == F.col("rule"), "left_semi").select("url")
+    names = spark.createDataFrame([(x.lower(),) for x in labels_of], "rule string")
+    suffixes = urls.select("url", suffix.alias("suffix"))
+    by_host = suffixes.join(rules, F.col("suffix") == F.col("rule"), "left_semi").select("url")
+    by_name = suffixes.where(F.contains("suffix", F.lit("."))).join(names, F.substring_index("suffix", ".", 1) == F.col("rule"), "left_semi").select("url")
     by_link = urls.join(links, F.col("url") == F.col("rule"), "left_semi").select("url")
-    return by_host.union(by_link).distinct().select(F.col("url").alias(f"{name}_url"))
+    return by_host.union(by_name).union(by_link).distinct().select(F.col("url").alias(f"{name}_url"))
 
 
 def filter_urls(
     pages: DataFrame,
-    block_hosts: tuple[str, ...] = BLOCK_HOSTS,
+    block_hosts: tuple[str, ...] = (),
     block_urls: tuple[str, ...] = (),
     allow_hosts: tuple[str, ...] = (),
     allow_urls: tuple[str, ...] = (),
     redirects: DataFrame | None = None,
+    block_names: tuple[str, ...] = BLOCK_NAMES,
 ) -> DataFrame:
     """One row per page (page_id, url, html): its normalised URL, its component's name, and whether and why it stays.
 
     ``reason`` is ``allowed`` (the URL itself is on an allow list, whatever else holds), ``blocked`` (it is on a block
     list), ``alias`` (a URL it is equivalent to is), ``invalid`` (null, empty or not http) or ``clean``; ``keep`` is true for
-    allowed and clean. ``redirects`` may add edges (from_url, to_url). A host rule holds for its subdomains.
+    allowed and clean. ``redirects`` may add edges (from_url, to_url). A host rule holds for its subdomains;
+    one of ``block_names`` for every host that has it as a label, under any suffix.
 
     The component of a URL without links is the URL. Null HTML has no links. Repeated rows and null keys give a row
     each. Other columns aren't read. An empty table gives no rows.
@@ -92,7 +97,7 @@ def filter_urls(
     mine = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("raw_url"), normalise(F.col("url")).alias("url"))
     urls = mine.select("url").where("url is not null").union(groups.select(F.col("node").alias("url"))).distinct()
     urls = urls.join(groups.withColumnRenamed("node", "url"), "url", "left").withColumn("component", F.coalesce("component", "url"))
-    blocked = urls.join(_matches(urls.select("url"), block_hosts, block_urls, "block"), F.col("url") == F.col("block_url"), "left")
+    blocked = urls.join(_matches(urls.select("url"), block_hosts, block_urls, "block", block_names), F.col("url") == F.col("block_url"), "left")
     bad = blocked.where("block_url is not null").select(F.col("component").alias("bad")).distinct()
     allowed = _matches(urls.select("url"), allow_hosts, allow_urls, "allow")
     decided = blocked.join(bad, F.col("component") == F.col("bad"), "left").join(allowed, F.col("url") == F.col("allow_url"), "left")

@@ -59,3 +59,10 @@ def test_blocks_reach_aliases_and_allow_comes_first(spark):
     assert len(got) == 10
     assert by == {1: ("alias", False), 2: ("alias", False), 3: ("clean", True), 4: ("blocked", False), 5: ("allowed", True), 6: ("invalid", False), 7: ("invalid", False), None: ("clean", True), 8: ("allowed", True)}
     assert filter_urls(spark.createDataFrame([], pages.schema)).collect() == []
+
+
+def test_default_names_hold_under_any_suffix(spark):
+    urls = ["https://free-bets.example.net/a", "http://m.casino-win.example.com/b?x=1", "https://www.spam-farm.example.com:8080/", "https://Cheap-Pills.co.uk", "https://not-free-bets.example.com/", "https://example.com/free-bets.html", "https://free-bets"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "cast(null as string) as html")
+    by = {r.page_id: r.reason for r in filter_urls(pages).collect()}
+    assert by == dict(enumerate(["blocked"] * 4 + ["clean"] * 3))
