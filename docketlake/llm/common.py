@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
@@ -143,6 +143,79 @@ def segment_ids(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def keep_rows(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ``wanted``, with the columns of docs alone."""
-    return docs.join(wanted.select(F.col("doc_id").alias("__wanted")), docs["doc_id"].cast("long") == F.col("__wanted"), how)
+REPEATED = 1000
+
+
+def row_of(docs: DataFrame) -> Column:
+    """What tells rows apart that share a doc_id: a hash of the text where the key occurs more than once, else 0.
+
+    Rows that share key and text are one document. The keys that repeat are named in the expression if they are few; if
+    not, every text is hashed.
+    """
+    key = F.col("doc_id").cast("long")
+    twice = docs.select(key.alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(REPEATED + 1).collect()
+    none, text = F.lit(0).cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if not twice:
+        return none
+    return text if len(twice) > REPEATED else F.when(key.isin([r.doc_id for r in twice]), text).otherwise(none)
+
+
+def keep_rows(docs: DataFrame, wanted: DataFrame, how: str, row: Column) -> DataFrame:
+    """Rows of docs whose (doc_id, row_of()) is (left_semi) or isn't (left_anti) in ``wanted`` (doc_id, row), with the columns of docs alone."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = docs.select(F.struct(*(docs[c].alias(n) for c, n in zip(docs.columns, names))).alias("__all"), F.col("doc_id").cast("long").alias("__doc"), row.alias("__row"))
+    met = (F.col("__doc") == F.col("__doc_wanted")) & (F.col("__row") == F.col("__row_wanted"))
+    found = whole.join(wanted.select(F.col("doc_id").alias("__doc_wanted"), F.col("row").alias("__row_wanted")), met, how)
+    return found.select(*(F.col(f"__all.{n}").alias(c) for c, n in zip(docs.columns, names)))
+
+
+def distinct_rows(docs: DataFrame, row: Column) -> DataFrame:
+    """docs with one row of those that share a doc_id (null counts as one) and a text. Only texts that repeat move, and copies meet before they do."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(row).alias("row"), F.col("text").isNull().alias("bare")]
+    twice = docs.select(*key).groupBy("doc_id", "row", "bare").count().where("count > 1")
+    twice = Scratch(docs.sparkSession).save(twice.select(F.col("doc_id").alias("t_doc"), F.col("row").alias("t_row"), F.col("bare").alias("t_bare")), "twice")
+    if twice.isEmpty():
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = docs.select(*key, F.struct(*(docs[c].alias(n) for c, n in zip(docs.columns, names))).alias("__all"))
+    met = F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("row") == F.col("t_row")) & (F.col("bare") == F.col("t_bare"))
+    once = whole.join(twice, met, "left_anti").select("__all")
+    again = whole.join(twice, met, "left_semi").withColumn("whole_text", F.col(f"__all.{names[docs.columns.index('text')]}")).groupBy("doc_id", "row", "bare", "whole_text").agg(F.first("__all").alias("__all")).select("__all")
+    return once.union(again).select(*(F.col(f"__all.{n}").alias(c) for c, n in zip(docs.columns, names)))
+
+
+def block_pairs(rows: DataFrame, sizes: DataFrame, key: str, place: list[str], block: int) -> DataFrame:
+    """Rows of groups too large for a task, spread so that every pair of a group meets in one run of about two blocks.
+
+    ``sizes`` (key, n) names the groups. Each row goes to a block of its group and with it to the runs of that block
+    with each other one: ``run`` names a run, ``side`` is 0 or 1 for rows that meet those of the other side alone and -1
+    in a run of one block.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = rows.join(sizes.select(F.col(key).alias("__key"), blocks.alias("__blocks")), F.col(key) == F.col("__key")).withColumn("__mine", F.pmod(F.xxhash64(*place), F.col("__blocks")).cast("int"))
+    spread = mine.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    side = F.when(F.col("__other") == F.col("__mine"), -1).when(F.col("__mine") < F.col("__other"), 0).otherwise(1)
+    run = F.xxhash64(key, F.least("__mine", "__other"), F.greatest("__mine", "__other"))
+    return spread.withColumn("run", run).withColumn("side", side.cast("int")).select(*rows.columns, "run", "side")
+
+
+def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole runs of equal keys, from batches sorted by key. A run over many batches is joined once, when it ends."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        other = np.flatnonzero(x[key] != x[key][-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and (cut or held[-1][key][-1] != x[key][0]):
+            if cut:
+                held.append({c: v[:cut] for c, v in x.items()})
+            yield {c: np.concatenate([h[c] for h in held]) for c in names}
+            held = []
+        elif cut:
+            yield {c: v[:cut] for c, v in x.items()}
+        held.append({c: v[cut:] for c, v in x.items()})
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in names}

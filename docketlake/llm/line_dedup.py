@@ -6,13 +6,12 @@ verified on the words themselves; and a line with an earlier match goes.
 
 Lines with the very same set are one point of the join (the earliest stands for all), so a line in thousands of
 copies costs as much as one. Rarity comes from counts over all lines in a table of fixed size, indexed by a hash of the token:
-any common order gives exact results, and this one needs no shuffle of the vocabulary.
+any common order gives exact results, and this one needs no shuffle of the vocabulary. A token that stands in the
+prefixes of more lines than a task should compare has them split into blocks, every two of which meet in a run of their own.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, hash_words, mix, segment_ids, slices, sum_segments, texts_of
+from docketlake.llm.common import Scratch, block_pairs, hash_words, mix, row_of, runs, segment_ids, slices, sum_segments, texts_of
 from docketlake.llm.exact_search import split_terms
 
 BITS = 18
 PAGE = 4096
+BLOCK = 20_000
+PAIRS = 500_000
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -59,14 +60,15 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return found
 
 
-LINES = "doc_id long, line int, n int, s0 long, s1 long, b0 long, b1 long, prefix array<long>"
+LINES = "doc_id long, row long, line int, n int, s0 long, s1 long, b0 long, b1 long, prefix array<long>"
 
 
 def _line_sets(part: pa.RecordBatch, counts: np.ndarray, threshold: float, min_tokens: int) -> pa.RecordBatch:
     doc, number, flat = _lines(part.column("text"))
     terms, codes, offsets = split_terms(flat)
     hashed = hash_words(terms)
-    order = np.lexsort((hashed, counts[(hashed >> np.uint64(64 - BITS)).astype(np.int64)]))
+    count = counts[(hashed >> np.uint64(64 - BITS)).astype(np.int64)]
+    order = np.lexsort((hashed, count))
     rank = np.empty(len(terms), np.int64)
     rank[order] = np.arange(len(terms))
     width = max(1, len(terms))
@@ -90,112 +92,140 @@ def _line_sets(part: pa.RecordBatch, counts: np.ndarray, threshold: float, min_t
     size = size[keep]
     starts = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(bounds[:-1][keep] - starts[:-1], size) + np.arange(starts[-1])
+    # the lowest bit of a prefix token tells that it may stand in more than a block of prefixes
+    often = (count >= BLOCK).astype(np.uint64)[order[key % width]] if len(key) else np.zeros(0, np.uint64)
+    token = (token & ~np.uint64(1)) | often
     prefix = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(token[at].view(np.int64)))
-    ids = part.column("doc_id").take(pa.array(doc[keep]))
+    ids = [part.column(c).take(pa.array(doc[keep])) for c in ("doc_id", "row")]
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (*sums, *parity)), prefix],
-        ["doc_id", "line", "n", "s0", "s1", "b0", "b1", "prefix"],
+        [*ids, pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (*sums, *parity)), prefix],
+        ["doc_id", "row", "line", "n", "s0", "s1", "b0", "b1", "prefix"],
     )
 
 
-def _candidates(batches, threshold: float):
-    """Pairs of rows with one token (rows come sorted by token and size) that pass the length, positional and bitmap filters."""
-    names = ("token", "n", "place", "doc_id", "line", "b0", "b1")
-    held = {c: np.zeros(0, np.int64) for c in names}
+PLACES = ("a_doc", "a_row", "a_line", "b_doc", "b_row", "b_line")
+PAIR = "a_doc long, a_row long, a_line int, b_doc long, b_row long, b_line int"
 
-    def pairs(x):
-        found, k = [], 1
-        alive = np.arange(len(x["token"]))
+
+def _candidates(batches, threshold: float):
+    """Pairs of rows of one run (rows come sorted by run and size) that pass the length, positional and bitmap filters."""
+
+    def pairs(x, a, b):
+        later = x["line"][a] > x["line"][b]
+        for c in ("row", "doc_id"):
+            later = (x[c][a] > x[c][b]) | ((x[c][a] == x[c][b]) & later)
+        a, b = np.where(later, b, a), np.where(later, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(x[c][i]) for i in (a, b) for c in ("doc_id", "row", "line")], list(PLACES))
+
+    for x in runs(batches, ("run", "side", "n", "place", "doc_id", "row", "line", "b0", "b1"), "run"):
+        found, held, k = [], 0, 1
+        alive = np.arange(len(x["run"]))
         while len(alive):
-            alive = alive[alive + k < len(x["token"])]
+            alive = alive[alive + k < len(x["run"])]
             j = alive + k
-            alive = alive[(x["token"][alive] == x["token"][j]) & (x["n"][alive] >= threshold * x["n"][j] - 1e-9)]
-            j = alive + k
-            need = np.ceil(threshold / (1 + threshold) * (x["n"][alive] + x["n"][j]) - 1e-9)
-            most = np.minimum(x["place"][alive], x["place"][j]) + 1 + np.minimum(x["n"][alive] - x["place"][alive], x["n"][j] - x["place"][j]) - 1
-            unlike = sum(np.bitwise_count((x[b][alive] ^ x[b][j]).view(np.uint64)).astype(np.int64) for b in ("b0", "b1"))
-            ok = (most >= need) & (unlike <= x["n"][alive] + x["n"][j] - 2 * need)
-            found.append((alive[ok], j[ok]))
+            alive = alive[(x["run"][alive] == x["run"][j]) & (x["n"][alive] >= threshold * x["n"][j] - 1e-9)]
+            a, b = alive, alive + k
+            apart = (x["side"][a] < 0) | (x["side"][a] != x["side"][b])
+            a, b = a[apart], b[apart]
+            need = np.ceil(threshold / (1 + threshold) * (x["n"][a] + x["n"][b]) - 1e-9)
+            most = np.minimum(x["place"][a], x["place"][b]) + 1 + np.minimum(x["n"][a] - x["place"][a], x["n"][b] - x["place"][b]) - 1
+            unlike = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
+            ok = (most >= need) & (unlike <= x["n"][a] + x["n"][b] - 2 * need)
+            if ok.any():
+                found.append((a[ok], b[ok]))
+                held += int(ok.sum())
+            if held >= PAIRS:
+                yield pairs(x, *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+                found, held = [], 0
             k += 1
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        swap = (x["doc_id"][a] > x["doc_id"][b]) | ((x["doc_id"][a] == x["doc_id"][b]) & (x["line"][a] > x["line"][b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(x[c][i]) for i in (a, b) for c in ("doc_id", "line")], ["a_doc", "a_line", "b_doc", "b_line"])
-
-    for batch in batches:
-        held = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
-        if len(held["token"]):
-            whole = int(np.flatnonzero(held["token"] == held["token"][-1])[0])
-            if whole:
-                yield pairs({c: v[:whole] for c, v in held.items()})
-                held = {c: v[whole:] for c, v in held.items()}
-    yield pairs(held)
+        if found:
+            yield pairs(x, *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
 
 
 def _verified(batches, threshold: float):
+    """Pairs whose lines' sets of words reach the threshold, compared word by word."""
     for batch in batches:
         n = batch.num_rows
         terms, codes, offsets = split_terms(pa.concat_arrays([batch.column("a_text").cast(pa.large_string()), batch.column("b_text").cast(pa.large_string())]))
-        score = np.zeros(n)
-        for i in range(n):
-            a, b = (set(codes[offsets[k] : offsets[k + 1]].tolist()) for k in (i, n + i))
-            score[i] = len(a & b) / max(1, len(a | b))
+        width = max(1, len(terms))
+        key = np.unique(segment_ids(offsets) * width + codes)
+        left, right = key[key < n * width], key[key >= n * width] - n * width
+        size = np.bincount(left // width, minlength=n) + np.bincount(right // width, minlength=n)
+        shared = np.bincount(np.intersect1d(left, right, True) // width, minlength=n)
+        score = shared / np.maximum(1, size - shared)
         ok = pa.array(score >= threshold)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in ("a_doc", "a_line", "b_doc", "b_line")), pa.array(score).filter(ok)], ["a_doc", "a_line", "b_doc", "b_line", "jaccard"])
-
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in PLACES), pa.array(score).filter(ok)], [*PLACES, "jaccard"])
 
-def repeated_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 3) -> DataFrame:
-    """Rows (doc_id, line, kept_doc_id, kept_line, jaccard) of lines to remove, each with the earliest line that it repeats.
 
-    Lines are counted from 0 and come in order of doc_id and number. A line goes if any earlier one, itself removed or
-    not, has at least ``threshold`` Jaccard similarity of lower-case words without punctuation around them. Lines of fewer
-    than ``min_tokens`` distinct words are left alone, as are empty ones and all lines of null texts or null keys. Rows
-    that share a doc_id count as one document. Other columns aren't read. An empty table gives no rows.
-    """
+def _repeats(docs: DataFrame, threshold: float, min_tokens: int, row) -> DataFrame:
+    """repeated_lines() with the ``row`` of each line's document, as row_of() has it."""
     scratch = Scratch(docs.sparkSession)
-    texts = texts_of(docs).where("doc_id is not null")
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(texts))  # of fixed size
+    texts = texts_of(docs, row.alias("row")).where("doc_id is not null")
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(texts.select("doc_id", "text")))  # of fixed size
 
     def sets(batches):
         for part in slices(batches):
             yield _line_sets(part, counts.value, threshold, min_tokens)
 
     lines = scratch.save(texts.mapInArrow(sets, LINES), "lines")
-    same = ["s0", "s1", "n"]
-    place = F.struct("doc_id", "line")
-    groups = lines.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("b0", "b1", "prefix")).alias("s"))
+    same, place = ["s0", "s1", "n"], ["doc_id", "row", "line"]
+    groups = lines.groupBy(*same).agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place)).alias("last"), F.min(F.struct("b0", "b1", "prefix")).alias("s"))
     groups = scratch.save(groups, "sets")
     many = groups.where("first <> last").select(*same, "first")
-    copies = lines.select(*same, "doc_id", "line").join(many, same).where(F.struct("doc_id", "line") != F.col("first"))
-    copies = scratch.save(copies.select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(1.0).alias("jaccard")).distinct(), "copies")
+    copies = lines.select(*same, *place).join(many, same).where(F.struct(*place) != F.col("first"))
+    copies = scratch.save(copies.select(*place, F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(1.0).alias("jaccard")).distinct(), "copies")
     scratch.drop("lines")
 
-    postings = groups.select("n", "first.doc_id", "first.line", "s.b0", "s.b1", F.posexplode("s.prefix").alias("place", "token"))
-    ordered = postings.repartition("token").sortWithinPartitions("token", "n")
-    place_type = "a_doc long, a_line long, b_doc long, b_line long"
-    pairs = scratch.save(ordered.mapInArrow(lambda b: _candidates(b, threshold), place_type).distinct(), "pairs")
+    postings = groups.select("n", "first.doc_id", "first.row", "first.line", "s.b0", "s.b1", F.posexplode("s.prefix").alias("place", "token"))
+    ordinary = postings.withColumn("run", F.col("token")).withColumn("side", F.lit(-1))
+    if counts.value.max() >= BLOCK:
+        often = postings.where("token & 1 = 1").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        often = scratch.save(often, "often")
+        if not often.isEmpty():
+            ordinary = ordinary.join(often.select(F.col("token").alias("o_token")), F.col("token") == F.col("o_token"), "left_anti").union(block_pairs(postings, often, "token", place, BLOCK))
+    ordered = ordinary.drop("token").repartition("run").sortWithinPartitions("run", "n")
+    pairs = scratch.save(ordered.mapInArrow(lambda b: _candidates(b, threshold), PAIR).distinct(), "pairs")
     scratch.drop("sets")
-    wanted = pairs.select(F.col("a_doc").alias("w_doc"), F.col("a_line").alias("w_line")).union(pairs.select("b_doc", "b_line"))
-    wanted = wanted.groupBy("w_doc").agg(F.collect_set("w_line").alias("w_lines"))
-    pieces = texts.join(wanted, F.col("doc_id") == F.col("w_doc")).select("doc_id", F.split("text", "\n", -1).alias("parts"), F.explode("w_lines").alias("w_line"))
-    pieces = scratch.save(pieces.select("doc_id", F.col("w_line").alias("line"), F.expr("try_element_at(parts, cast(w_line + 1 as int))").alias("piece")), "pieces")
-    sides = pairs.join(pieces.select(F.col("doc_id").alias("a_doc"), F.col("line").alias("a_line"), F.col("piece").alias("a_text")), ["a_doc", "a_line"])
-    sides = sides.join(pieces.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("piece").alias("b_text")), ["b_doc", "b_line"])
-    near = sides.select("a_doc", "a_line", "a_text", "b_doc", "b_line", "b_text").mapInArrow(lambda b: _verified(b, threshold), place_type + ", jaccard double")
-    best = near.groupBy(F.col("b_doc").alias("doc_id"), F.col("b_line").cast("int").alias("line")).agg(F.min(F.struct("a_doc", "a_line", "jaccard")).alias("a"))
-    near = scratch.save(best.select("doc_id", "line", F.col("a.a_doc").alias("kept_doc_id"), F.col("a.a_line").cast("int").alias("kept_line"), F.col("a.jaccard").alias("jaccard")), "near")
+    wanted = pairs.select(F.col("a_doc").alias("w_doc"), F.col("a_row").alias("w_row"), F.col("a_line").alias("w_line")).union(pairs.select("b_doc", "b_row", "b_line"))
+    wanted = wanted.groupBy("w_doc", "w_row").agg(F.collect_set("w_line").alias("w_lines"))
+    mine = (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))
+    pieces = texts.join(wanted, mine).select("doc_id", "row", F.split("text", "\n", -1).alias("parts"), F.explode("w_lines").alias("line"))
+    pieces = scratch.save(pieces.select("doc_id", "row", "line", F.expr("try_element_at(parts, cast(line + 1 as int))").alias("piece")).distinct(), "pieces")
+    sides = pairs
+    for side in ("a", "b"):
+        keys = [f"{side}_doc", f"{side}_row", f"{side}_line"]
+        sides = sides.join(pieces.toDF(*keys, f"{side}_text"), keys)
+    near = sides.select(*PLACES, "a_text", "b_text").mapInArrow(lambda b: _verified(b, threshold), PAIR + ", jaccard double")
+    best = near.groupBy(F.col("b_doc").alias("doc_id"), F.col("b_row").alias("row"), F.col("b_line").alias("line")).agg(F.min(F.struct("a_doc", "a_row", "a_line", "jaccard")).alias("a"))
+    near = scratch.save(best.select(*place, F.col("a.a_doc").alias("kept_doc_id"), F.col("a.a_line").alias("kept_line"), F.col("a.jaccard").alias("jaccard")), "near")
     scratch.drop("pairs", "pieces")
     return copies.union(near)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 3, drop_emptied: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 1) -> DataFrame:
+    """Rows (doc_id, line, kept_doc_id, kept_line, jaccard) of lines to remove, each with an earlier line that it repeats.
+
+    Lines are counted from 0 and come in order of doc_id and number. A line goes if any earlier one, itself removed or
+    not, has at least ``threshold`` Jaccard similarity of lower-case words without punctuation around them. A line whose
+    set of words occurred before names the first line with that very set, any other the earliest that it resembles. Lines
+    of fewer than ``min_tokens`` distinct words are left alone, as are all lines of null texts or null keys.
+
+    Rows that share a doc_id are told apart by their texts, in an order of their own within the key; rows that share both
+    are one document, which loses the same lines in each. Other columns aren't read. An empty table gives no rows.
+    """
+    return _repeats(docs, threshold, min_tokens, row_of(docs)).drop("row")
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.9, min_tokens: int = 1, drop_emptied: bool = False) -> DataFrame:
     """The documents with all their columns, their texts without the lines of repeated_lines().
 
-    Every row stays, a null text as it is; with ``drop_emptied`` those go that lost lines and have nothing left but lines
-    of fewer than ``min_tokens`` words. Columns may bear any names.
+    Every row stays, a null text or a null key as it is; with ``drop_emptied`` those go that lost lines and have nothing
+    left but lines of fewer than ``min_tokens`` words. Of rows that share a doc_id, each loses its own lines alone.
+    Columns may bear any names. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, threshold, min_tokens).groupBy("doc_id").agg(F.collect_set("line").alias("lines")).select(F.struct("doc_id", "lines").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone.doc_id"), "left")
+    row = row_of(docs)
+    gone = _repeats(docs, threshold, min_tokens, row).groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines")).select(F.struct("doc_id", "row", "lines").alias("__gone"))
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("__gone.doc_id")) & (row == F.col("__gone.row")), "left")
     rest = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone.lines"), i))
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(rest, "\n"))
     if drop_emptied:
@@ -208,7 +238,7 @@ SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line, list_distinct(list_filter(list_transform(regexp_extract_all(lower(x), '[^ \t\n\r\f\v]+'), lambda w: trim(w, '.,;:!?"''()[]{}%*#$&')), lambda w: w <> '')) AS ws
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-), s AS (SELECT list_sort(ws) AS ws, len(ws) AS n, min((doc_id, line)) AS first FROM l WHERE len(ws) >= 3 GROUP BY 1, 2),
+), s AS (SELECT list_sort(ws) AS ws, len(ws) AS n, min((doc_id, line)) AS first FROM l WHERE len(ws) >= 1 GROUP BY 1, 2),
 copies AS (SELECT doc_id, line, first[1] AS kept_doc_id, first[2] AS kept_line, 1.0::DOUBLE AS jaccard FROM l JOIN s ON list_sort(l.ws) = s.ws WHERE (doc_id, line) <> first),
 w AS (SELECT first, n, unnest(ws) AS w FROM s),
 f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
