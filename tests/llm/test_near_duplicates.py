@@ -2,7 +2,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from docketlake.llm.near_duplicates import near_duplicates
+import pytest
+
+from docketlake.llm import near_duplicates as module
+from docketlake.llm.near_duplicates import COORDINATES, children, drop_near_duplicates, near_duplicates, roots
 
 
 def grams(text):
@@ -93,3 +96,51 @@ def test_star_larger_than_a_node(spark):
     assert len(near) > 500
     caught = sum(got.get(i) == 0 for i in near) / len(near)
     assert caught >= 0.97, caught
+
+
+def test_rows_that_share_a_key(spark):
+    x, y = "some words that several of these documents share word for word", "quite another text of which there is but one copy here"
+    rows = [(2, x), (7, x), (7, y), (8, y), (8, y), (None, x), (None, x), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as kept_row", "'s' as row")
+    got = drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, x), (7, y), (None, x), (9, None), (9, "")], key=str)
+    assert sorted((r.doc_id, r.kept_doc_id) for r in near_duplicates(docs).collect()) == [(7, 2), (8, 7)]
+    assert drop_near_duplicates(spark.createDataFrame([], docs.schema)).collect() == []
+
+
+@pytest.mark.parametrize("similarity", [0.45, 0.5])
+def test_recall_of_pairs_at_the_threshold_in_deep_trees(similarity):
+    rng, pairs = np.random.default_rng(21), 400
+    a = rng.integers(0, 1 << 16, (pairs, COORDINATES)).astype(np.uint16)
+    b = np.where(rng.random((pairs, COORDINATES)) < similarity, a, rng.integers(0, 1 << 16, (pairs, COORDINATES)).astype(np.uint16))
+    start = roots(8, 0.45)
+    pair, node = np.repeat(np.arange(pairs), len(start)), np.tile(start, pairs)
+    for depth in range(1, 9):
+        growth = 1.0 if depth == 1 else 1.3
+        (i, left), (j, right) = (children(node, v[pair], 0.45, growth) for v in (a, b))
+        shared = np.intersect1d(left, right)
+        at = np.isin(left, shared)
+        pair, node = pair[i[at]], left[at]
+        assert len(np.unique(pair)) >= 0.9 * pairs, depth
+        # as many nodes as are needed to follow every pair that is still met
+        order = np.argsort(rng.random(len(pair)))
+        keep = order[np.sort(np.unique(pair[order], return_index=True)[1])] if len(pair) > 200_000 else order
+        pair, node = pair[keep], node[keep]
+
+
+def test_nodes_large_at_the_last_level_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(module, "LAST_BLOCK", 25)
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(5000)]
+    base, texts = list(rng.choice(words, 100)), {}
+    for i in range(150):  # near one another by steps: far ends of the group don't resemble each other
+        text = list(base) if i % 2 else list(texts[int(rng.integers(i))] if i else base)
+        for at in rng.choice(100, 6, replace=False):
+            text[at] = rng.choice(words)
+        texts[i] = text
+    sets = {i: grams(" ".join(t)) for i, t in texts.items()}
+    want = groups([(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) >= 0.45 * len(sets[a] | sets[b])], texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.kept_doc_id for r in near_duplicates(docs, node_limit=20, max_depth=2).collect()}
+    assert sum(got.get(i, i) == want[i] for i in texts) >= 0.97 * len(texts)
