@@ -2,7 +2,20 @@ from collections import defaultdict
 
 import numpy as np
 
-from docketlake.llm.packing import bin_cost, open_size, pack, pack_documents
+import pytest
+from docketlake.llm.packing import bin_cost, file_place, pack, pack_documents
+from pyspark.sql import functions as F
+
+
+def cheapest(length, rest, capacities):
+    """The bin to open, by filling a bin of each size with the longest pieces to come that fit."""
+    rates = []
+    for c in sorted(x for x in capacities if x >= length):
+        held = length
+        for x in sorted(rest, reverse=True):
+            held += x if held + x <= c else 0
+        rates.append(((64 + c + 0.25 * c**2 / max(capacities)) / held, c))
+    return min(rates)[1]
 
 
 def plain(lengths, capacities):
@@ -14,7 +27,7 @@ def plain(lengths, capacities):
             b = min(fits)[1]
         else:
             b = len(bins)
-            bins.append([open_size(length, sorted(lengths[i + 1 :]), capacities, bin_cost), 0])
+            bins.append([cheapest(length, lengths[i + 1 :], capacities), 0])
         out.append((b, bins[b][1]))
         bins[b] = [bins[b][0] - length, bins[b][1] + length]
     return [b for b, _ in out], [o for _, o in out], [min(c for c in capacities if c >= used) for _, used in bins]
@@ -54,5 +67,42 @@ def test_every_token_lies_in_one_place(spark):
     assert 400 not in cover and 401 not in cover and len(cover[5]) >= 2
 
 
+@pytest.mark.parametrize("from_files", [True, False])
+def test_shards_follow_the_order(spark, tmp_path, from_files):
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 40)) if i % 3 else None, "t " * int(rng.integers(1, 60))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if from_files:
+        docs.repartitionByRange(6, F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/d")
+        docs = spark.read.parquet(f"{tmp_path}/d")
+    got = pack_documents(docs, (32, 64), shard_pieces=90, order=file_place(docs)).collect()
+    first = sorted((r for r in got if r.piece == 0), key=lambda r: r.place)
+    seen, appearances = defaultdict(int), []
+    for i, text in rows:
+        appearances.append((i, seen[i, text]))
+        seen[i, text] += 1
+    if from_files:
+        assert [(r.doc_id, r.epoch) for r in first] == appearances
+    assert sorted(((r.doc_id, r.epoch) for r in first), key=str) == sorted(appearances, key=str)
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.bin_id.rsplit("-", 1)[0]].append((r.place, r.piece))
+    held = [shards[s] for s in sorted(shards)]
+    assert len(held) >= 500 // 90 and all(max(a) < min(b) for a, b in zip(held, held[1:]))
+    starts = {}
+    for r in got:
+        starts[r.bin_id] = min(starts.get(r.bin_id, r.place), r.place)
+    assert [starts[b] for b in sorted(starts)] == sorted(starts.values())
+
+
+def test_one_key_in_a_third_of_the_rows_is_spread(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, "one two three") for i in range(3000)], "doc_id long, text string")
+    got = pack_documents(docs, (16, 64), shard_pieces=500).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.bin_id.rsplit("-", 1)[0]] += 1
+    assert len(got) == 3000 and max(sizes.values()) <= 500 and len(sizes) >= 6
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
