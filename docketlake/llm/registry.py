@@ -49,7 +49,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    redirects, allow = url_filter.hops_and_allowed(pages)
+    return url_filter.filter_urls(pages, redirects=redirects, allow=allow)
 
 
 def op9_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

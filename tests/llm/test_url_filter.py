@@ -1,7 +1,7 @@
 import random
 
 from docketlake.llm.components import connected_components
-from docketlake.llm.url_filter import filter_urls, normalise
+from docketlake.llm.url_filter import filter_urls, normalise, page_links
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,9 @@ def test_normalise(spark):
         "HTTP://www.Site.com:80/a/?utm_source=x&b=1#top": "https://site.com/a?b=1",
         "https://m.site.com/": "https://site.com",
         "https://site.com/x/index.html": "https://site.com/x",
+        "https://site.com/a/./b/../c/..": "https://site.com/a",
+        "https://site.com/../x": "https://site.com/x",
+        "https://site.com/.well/a..b": "https://site.com/.well/a..b",
         "ftp://site.com": None,
         "": None,
         None: None,
@@ -61,6 +64,29 @@ def test_blocks_reach_aliases_and_allow_comes_first(spark):
     assert filter_urls(spark.createDataFrame([], pages.schema)).collect() == []
 
 
+def test_links_as_browsers_read_them(spark):
+    rows = [
+        (1, "https://a.com/x/y/p", '<link rel="canonical" href="../q">', "https://a.com/x/q"),
+        (2, "https://a.com/p", "<link rel=canonical href='/q?a=1&amp;b=2'>", "https://a.com/q?a=1&b=2"),
+        (3, "https://a.com/p", '<base href="https://b.com/dir/"><link href="z" rel="canonical">', "https://b.com/dir/z"),
+        (4, "https://a.com/p", '<!-- <link rel="canonical" href="/no"> --><p>', None),
+        (5, "https://a.com/p", '<script>var s = \'<link rel="canonical" href="/no">\'</script>', None),
+        (6, "https://a.com/p", '<meta http-equiv="refresh" content="0;url=&#47;moved">', "https://a.com/moved"),
+        (7, "https://a.com/p", "<meta http-equiv='Refresh' content='5; URL=\"next page\"'>", "https://a.com/next page"),
+    ]
+    for i, url, html, want in rows:
+        pages = spark.createDataFrame([(i, url, html)], "page_id long, url string, html string")
+        assert [r.v for r in page_links(pages).collect()] == ([want] if want else []), i
+
+
+def test_tables_of_block_and_allow(spark):
+    pages = spark.createDataFrame([(1, "https://x.com/a", None), (2, "https://y.com/b", None), (3, "https://z.com/c", None)], "page_id long, url string, html string")
+    hops = spark.createDataFrame([("https://y.com/b", "http://www.x.com/a/"), ("https://z.com/c", "https://x.com/a")], "from_url string, to_url string")
+    table = lambda *urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    got = filter_urls(pages, redirects=hops, block=table("https://m.x.com/a", None), allow=table("https://z.com/c#top", "nonsense"))
+    assert {r.page_id: r.reason for r in got.collect()} == {1: "blocked", 2: "alias", 3: "allowed"}
+
+
 def test_default_names_hold_under_any_suffix(spark):
     urls = ["https://free-bets.example.net/a", "http://m.casino-win.example.com/b?x=1", "https://www.spam-farm.example.com:8080/", "https://Cheap-Pills.co.uk", "https://not-free-bets.example.com/", "https://example.com/free-bets.html", "https://free-bets"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "cast(null as string) as html")
