@@ -267,7 +267,8 @@ def label_languages(
 
     ``docs`` has doc_id, text and, unless a model is given, lang. ``confidence`` is the mean posterior of the
     document's chief language. ``keep`` is false where that is under ``min_confidence``, where the language isn't one
-    of ``languages`` (None: all), or where the text has no word with a letter. Ties go to the first language by name.
+    of ``languages`` (None: all), or where the text has no word with a letter. ``shares`` names every language that some
+    word is labelled with or that has more than 0.0005 of the posterior. Ties go to the first language by name.
 
     Null, empty or wordless text: lang null, confidence 0, empty shares and segments, keep false. Null doc_id: a row
     with a null key. Repeated rows give repeated rows. Other columns are neither read nor returned. An empty table
@@ -313,10 +314,11 @@ def _label_slice(part: pa.RecordBatch, model: Model, languages: tuple[str, ...]
         ["lang", "first_word", "words"],
     )
     segments = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32)), segment)
-    shown = np.where(real[:, None], share > 0.0005, False)
+    tagged = np.stack([np.bincount(doc, tag == k, n_docs) for k in range(n_lang)], 1)
+    shown = real[:, None] & ((share > 0.0005) | (tagged > 0))
     at = np.nonzero(shown)
     shares = pa.MapArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(shown.sum(1))]).astype(np.int32)), pa.array(names[at[1]], pa.string()), pa.array(np.round(share[at].astype(float), 4))
+        pa.array(np.concatenate([[0], np.cumsum(shown.sum(1))]).astype(np.int32)), pa.array(names[at[1]], pa.string()), pa.array(np.round(share[at].astype(float), 6))
     )
     allowed = np.ones(n_lang, bool) if languages is None else np.isin(model.langs, languages)
     keep = real & (np.round(sure, 6) >= min_confidence) & allowed[best]
