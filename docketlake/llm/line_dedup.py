@@ -142,17 +142,26 @@ def _candidates(batches, threshold: float):
             yield pairs(x, *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
 
 
+def _token_sets(batches):
+    """The distinct words of each line, by their 64-bit hashes."""
+    for part in slices(batches, "piece"):
+        terms, codes, offsets = split_terms(part.column("piece"))
+        width = max(1, len(terms))
+        key = np.unique(segment_ids(offsets) * width + codes)
+        starts = np.searchsorted(key, np.arange(part.num_rows + 1) * width)
+        tokens = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hash_words(terms).view(np.int64)[key % width]) if len(key) else pa.array([], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row", "line")), tokens], ["doc_id", "row", "line", "tokens"])
+
+
 def _verified(batches, threshold: float):
     """Pairs whose lines' sets of words reach the threshold, compared word by word."""
     for batch in batches:
         n = batch.num_rows
-        terms, codes, offsets = split_terms(pa.concat_arrays([batch.column("a_text").cast(pa.large_string()), batch.column("b_text").cast(pa.large_string())]))
-        width = max(1, len(terms))
-        key = np.unique(segment_ids(offsets) * width + codes)
-        left, right = key[key < n * width], key[key >= n * width] - n * width
-        size = np.bincount(left // width, minlength=n) + np.bincount(right // width, minlength=n)
-        shared = np.bincount(np.intersect1d(left, right, True) // width, minlength=n)
-        score = shared / np.maximum(1, size - shared)
+        size = [np.diff(batch.column(c).offsets.to_numpy()) for c in ("a_tokens", "b_tokens")]
+        words, code = np.unique(np.concatenate([batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("a_tokens", "b_tokens")]), return_inverse=True)
+        key = np.sort(np.concatenate([np.repeat(np.arange(n), x) for x in size]) * max(1, len(words)) + code)
+        shared = np.bincount(key[1:][key[1:] == key[:-1]] // max(1, len(words)), minlength=n)
+        score = shared / np.maximum(1, size[0] + size[1] - shared)
         ok = pa.array(score >= threshold)
         yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in PLACES), pa.array(score).filter(ok)], [*PLACES, "jaccard"])
 
@@ -189,13 +198,15 @@ def _repeats(docs: DataFrame, threshold: float, min_tokens: int, row) -> DataFra
     wanted = pairs.select(F.col("a_doc").alias("w_doc"), F.col("a_row").alias("w_row"), F.col("a_line").alias("w_line")).union(pairs.select("b_doc", "b_row", "b_line"))
     wanted = wanted.groupBy("w_doc", "w_row").agg(F.collect_set("w_line").alias("w_lines"))
     mine = (F.col("doc_id") == F.col("w_doc")) & (F.col("row") == F.col("w_row"))
-    pieces = texts.join(wanted, mine).select("doc_id", "row", F.split("text", "\n", -1).alias("parts"), F.explode("w_lines").alias("line"))
-    pieces = scratch.save(pieces.select("doc_id", "row", "line", F.expr("try_element_at(parts, cast(line + 1 as int))").alias("piece")).distinct(), "pieces")
+    # texts move here at any size: a small table of wanted lines would be broadcast at some sizes alone
+    pieces = texts.join(wanted.hint("merge"), mine).select("doc_id", "row", F.split("text", "\n", -1).alias("parts"), F.explode("w_lines").alias("line"))
+    pieces = pieces.select("doc_id", "row", "line", F.expr("try_element_at(parts, cast(line + 1 as int))").alias("piece")).distinct()
+    pieces = scratch.save(pieces.mapInArrow(_token_sets, "doc_id long, row long, line int, tokens array<long>"), "pieces")
     sides = pairs
     for side in ("a", "b"):
         keys = [f"{side}_doc", f"{side}_row", f"{side}_line"]
-        sides = sides.join(pieces.toDF(*keys, f"{side}_text"), keys)
-    near = sides.select(*PLACES, "a_text", "b_text").mapInArrow(lambda b: _verified(b, threshold), PAIR + ", jaccard double")
+        sides = sides.join(pieces.toDF(*keys, f"{side}_tokens"), keys)
+    near = sides.select(*PLACES, "a_tokens", "b_tokens").mapInArrow(lambda b: _verified(b, threshold), PAIR + ", jaccard double")
     best = near.groupBy(F.col("b_doc").alias("doc_id"), F.col("b_row").alias("row"), F.col("b_line").alias("line")).agg(F.min(F.struct("a_doc", "a_row", "a_line", "jaccard")).alias("a"))
     near = scratch.save(best.select(*place, F.col("a.a_doc").alias("kept_doc_id"), F.col("a.a_line").alias("kept_line"), F.col("a.jaccard").alias("jaccard")), "near")
     scratch.drop("pairs", "pieces")
