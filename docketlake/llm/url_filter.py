@@ -15,18 +15,20 @@ BLOCK_NAMES = ("spam-farm", "cheap-pills", "free-bets", "casino-win")
 TRACKING = "(utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 
 
-def normalise(url: Column) -> Column:
-    """Lower-case scheme and host, http as https, no ``www.`` or ``m.``, no default port, fragment, tracking parameter, index page or closing slash."""
-    u = F.regexp_replace(F.trim(url.cast("string")), "#.*$", "")
-    host = F.lower(F.regexp_extract(u, r"^(?i)https?://([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.", "")
-    rest = F.regexp_extract(u, r"^(?i)https?://[^/?]*(.*)$", 1)
-    path = F.regexp_extract(rest, r"^([^?]*)", 1)
-    path = F.when(path.rlike(r"/\.{1,2}(/|$)"), _without_dots(path)).otherwise(path)
-    path = F.regexp_replace(F.regexp_replace(path, r"/index\.(html?|php)$", ""), r"/+$", "")
-    query = F.regexp_replace(F.regexp_extract(rest, r"\?(.*)$", 1), rf"(^|&){TRACKING}=[^&]*", "")
-    query = F.regexp_replace(query, "^&+", "")
-    return F.when(host != "", F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+def normalised(urls: DataFrame, source: str, target: str) -> DataFrame:
+    """``urls`` with a column of its URLs in one form: lower-case scheme and host, http as https, no ``www.`` or ``m.``, no
+    default port, fragment, dot segment, tracking parameter, index page or closing slash. What isn't http is null.
+
+    Each step is a column of its own, so that none is worked out twice.
+    """
+    df = urls.withColumn("__u", F.regexp_replace(F.trim(F.col(source).cast("string")), "#.*$", ""))
+    df = df.withColumn("__host", F.lower(F.regexp_extract("__u", r"^(?i)https?://([^/?]*)", 1))).withColumn("__rest", F.regexp_extract("__u", r"^(?i)https?://[^/?]*(.*)$", 1))
+    df = df.withColumn("__host", F.regexp_replace(F.regexp_replace("__host", r":(80|443)$", ""), r"^(www|m)\.", ""))
+    df = df.withColumn("__path", F.regexp_extract("__rest", r"^([^?]*)", 1)).withColumn("__query", F.regexp_replace(F.regexp_extract("__rest", r"\?(.*)$", 1), rf"(^|&){TRACKING}=[^&]*", ""))
+    df = df.withColumn("__path", F.when(F.col("__path").rlike(r"/\.{1,2}(/|$)"), _without_dots(F.col("__path"))).otherwise(F.col("__path")))
+    df = df.withColumn("__path", F.regexp_replace(F.regexp_replace("__path", r"/index\.(html?|php)$", ""), r"/+$", "")).withColumn("__query", F.regexp_replace("__query", "^&+", ""))
+    whole = F.concat(F.lit("https://"), F.col("__host"), F.col("__path"), F.when(F.col("__query") != "", F.concat(F.lit("?"), F.col("__query"))).otherwise(""))
+    return df.withColumn(target, F.when(F.col("__host") != "", whole)).drop("__u", "__host", "__rest", "__path", "__query")
 
 
 def _without_dots(path: Column) -> Column:
@@ -53,18 +55,19 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(url, "^https://([^/?]*)", 1)
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """A link as an absolute URL: absolute, //host, /path, ?query, or relative to the base's folder."""
-    root, folder = F.regexp_extract(base, r"^(?i)(https?://[^/?#]*)", 1), F.regexp_extract(base, r"^(?i)(https?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    slash = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
-        F.when(link.rlike(r"^(?i)https?://"), link)
-        .when(link.startswith("//"), F.concat(F.lit("https:"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), link))
-        .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (link == "") | link.startswith("#"), F.lit(None).cast("string"))
-        .otherwise(F.concat(slash, link))
+def resolved(links: DataFrame, base: str, link: str, target: str) -> DataFrame:
+    """``links`` with a column of its links as absolute URLs: absolute, //host, /path, ?query, or relative to the base's folder."""
+    df = links.withColumn("__root", F.regexp_extract(base, r"^(?i)(https?://[^/?#]*)", 1)).withColumn("__folder", F.regexp_extract(base, r"^(?i)(https?://[^/?#]*(?:/[^?#]*/|/)?)", 1))
+    to = F.col(link)
+    whole = (
+        F.when(to.rlike(r"^(?i)https?://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("https:"), to))
+        .when(to.startswith("/"), F.concat("__root", to))
+        .when(to.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), to))
+        .when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (to == "") | to.startswith("#"), F.lit(None).cast("string"))
+        .otherwise(F.concat(F.col("__folder"), F.when(F.col("__folder").endswith("/"), "").otherwise("/"), to))
     )
+    return df.withColumn(target, whole).drop("__root", "__folder")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -75,26 +78,30 @@ def page_links(pages: DataFrame) -> DataFrame:
     mine = pages.where("url is not null and html is not null").select(F.trim(F.col("url").cast("string")).alias("url"), F.col("html").cast("string").alias("html"))
     seen = mine.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.regexp_replace("html", UNSEEN, " ").alias("html"))
 
-    def attribute(tag: str, having: str, name: str) -> Column:
-        whole = F.regexp_extract("html", rf"(?is)<{tag}\b([^>]*{having}[^>]*)>", 1)
-        quoted = F.coalesce(*(F.nullif(F.regexp_extract(whole, rf"(?is)\b{name}\s*=\s*{q}", 1), F.lit("")) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")), F.lit(""))
-        return F.trim(_decoded(quoted))
+    def attribute(df: DataFrame, tag: str, having: str, name: str, target: str) -> DataFrame:
+        df = df.withColumn("__tag", F.regexp_extract("html", rf"(?is)<{tag}\b([^>]*{having}[^>]*)>", 1))
+        df = df.withColumn("__value", F.regexp_extract("__tag", rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1))
+        df = df.withColumn("__value", F.trim(F.regexp_replace("__value", "^([\"'])(.*)\\1$", "$2")))
+        return df.withColumn(target, F.when(F.contains("__value", F.lit("&")), _decoded(F.col("__value"))).otherwise(F.col("__value"))).drop("__tag", "__value")
 
-    canonical = attribute("link", r"\brel\s*=\s*[\"']?canonical\b", "href")
-    refresh = F.regexp_extract(attribute("meta", r"\bhttp-equiv\s*=\s*[\"']?refresh\b", "content"), r"(?is)^\s*[\d.]+\s*[;,]\s*url\s*=\s*[\"']?([^\"']+)", 1)
-    own = attribute("base", r"\bhref\b", "href")
-    base = F.when(own != "", F.coalesce(resolve(F.col("url"), own), F.col("url"))).otherwise(F.col("url"))
-    links = seen.select("url", base.alias("base"), F.explode(F.array(canonical, F.trim(refresh))).alias("link")).where("link <> ''")
-    return links.select(normalise(F.col("url")).alias("u"), normalise(resolve(F.col("base"), F.col("link"))).alias("v")).where("u <> v")
+    seen = attribute(seen, "link", r"\brel\s*=\s*[\"']?canonical\b", "href", "canonical")
+    seen = attribute(seen, "meta", r"\bhttp-equiv\s*=\s*[\"']?refresh\b", "content", "content")
+    seen = attribute(seen, "base", r"\bhref\b", "href", "own").drop("html")
+    seen = resolved(seen, "url", "own", "own").withColumn("base", F.coalesce("own", "url"))
+    refresh = F.trim(F.regexp_extract("content", r"(?is)^\s*[\d.]+\s*[;,]\s*url\s*=\s*[\"']?([^\"']+)", 1))
+    links = seen.select("url", "base", F.explode(F.array("canonical", refresh)).alias("link")).where("link <> ''")
+    links = normalised(normalised(resolved(links, "base", "link", "to"), "url", "u"), "to", "v")
+    return links.select("u", "v").where("u <> v")
 
 
 def _matches(urls: DataFrame, hosts: tuple[str, ...], exact: tuple[str, ...], name: str, labels_of: tuple[str, ...] = (), listed: DataFrame | None = None) -> DataFrame:
     """Of ``urls`` (url), those on one of the hosts or a subdomain of it, on a host with one of the labels before its last, or equal to an exact or listed URL after normalisation."""
     spark = urls.sparkSession
     rules = spark.createDataFrame([(h.lower(),) for h in hosts], "rule string")
-    links = spark.createDataFrame([(u,) for u in exact], "raw string").select(normalise(F.col("raw")).alias("rule")).where("rule is not null")
+    links = spark.createDataFrame([(u,) for u in exact], "raw string")
     if listed is not None:
-        links = links.union(listed.select(normalise(F.col("url"))).where("url is not null")).distinct()
+        links = links.union(listed.select(F.col("url").cast("string")))
+    links = normalised(links, "raw", "rule").select("rule").where("rule is not null").distinct()
     labels = F.split(host_of(F.col("url")), r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     names = spark.createDataFrame([(x.lower(),) for x in labels_of], "rule string")
@@ -128,9 +135,10 @@ def filter_urls(
     """
     edges = page_links(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(normalise(F.col("from_url")), normalise(F.col("to_url"))).where("from_url is not null and to_url is not null"))
+        hops = normalised(normalised(redirects.select("from_url", "to_url"), "from_url", "u"), "to_url", "v")
+        edges = edges.union(hops.select("u", "v").where("u <> v"))
     groups = connected_components(edges)
-    mine = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("raw_url"), normalise(F.col("url")).alias("url"))
+    mine = normalised(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("raw_url")), "raw_url", "url")
     urls = mine.select("url").where("url is not null").union(groups.select(F.col("node").alias("url"))).distinct()
     urls = urls.join(groups.withColumnRenamed("node", "url"), "url", "left").withColumn("component", F.coalesce("component", "url"))
     blocked = urls.join(_matches(urls.select("url"), block_hosts, block_urls, "block", block_names, block), F.col("url") == F.col("block_url"), "left")

@@ -1,8 +1,7 @@
 import random
 
 from docketlake.llm.components import connected_components
-from docketlake.llm.url_filter import filter_urls, normalise, page_links
-from pyspark.sql import functions as F
+from docketlake.llm.url_filter import filter_urls, normalised, page_links
 
 
 def test_components_against_union_find(spark):
@@ -37,7 +36,7 @@ def test_normalise(spark):
         "": None,
         None: None,
     }
-    rows = spark.createDataFrame([(u,) for u in cases], "u string").select("u", normalise(F.col("u")).alias("n")).collect()
+    rows = normalised(spark.createDataFrame([(u,) for u in cases], "u string"), "u", "n").collect()
     assert {r.u: r.n for r in rows} == cases
 
 
