@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
         self.silent = self.bold = self.italic = 0
+        self.head = False
         self.now = self.fresh("")
 
     def fresh(self, tag: str) -> dict:
@@ -34,7 +37,10 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self.silent += 1
-        elif tag in BLOCK_TAGS:
+            self.head = tag == "head" or self.head
+        elif tag == "body" or self.head and tag in BLOCK_TAGS:  # a head that isn't closed ends where the body begins
+            self.silent, self.head = 0, False
+        if tag in BLOCK_TAGS:
             self.close_block()
             self.now = self.fresh(tag)
             self.bold = self.italic = 0
@@ -50,6 +56,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
+            self.head = self.head and tag != "head"
         elif tag in BLOCK_TAGS:
             self.close_block()
             self.now = self.fresh("")
@@ -69,10 +76,15 @@ class _Blocks(HTMLParser):
 
 
 def parse_html(html: str | None) -> list[dict]:
+    """Blocks of a page; one block of all its text where it has none."""
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser.close_block()
+    if not parser.found and html:
+        text = " ".join(unescape(re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<!--.*?-->|<(script|style|title)\b.*?</\1\s*>", " ", html))).split())
+        if text:
+            return [parser.fresh("") | {"text": text, "chars": len(text)}]
     return parser.found
 
 
@@ -108,26 +120,51 @@ def html_to_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return pages.select(key, convert(F.col(html)).alias("text"))
 
 
+def _text_rows(doc_id, text: str, sep: str) -> list[tuple]:
+    at, rows, seen, bare = 0, [], {}, 0
+    for raw in text.split(sep):
+        block = raw.strip(" ")
+        if block:
+            start = at + len(raw) - len(raw.lstrip(" "))
+            number = NUMBERED.match(block)
+            heading = len(block) <= 120 and block.upper() == block and block.lower() != block
+            para = int(number[1]) if number else None
+            if heading:
+                kind, label = "heading", None
+            elif number:
+                seen[para] = seen.get(para, 0) + 1
+                kind, label = "numbered", str(para) if seen[para] == 1 else f"{para}-{seen[para]}"
+            else:
+                bare += 1
+                kind, label = "paragraph", f"u-{bare:03d}"
+            rows.append((doc_id, len(rows) + 1, block, start, start + len(block), para, kind, label))
+        at += len(raw) + len(sep)
+    return rows
+
+
+NUMBERED = re.compile(r"(\d{1,4})\.\s", re.A)
+TEXT_BLOCKS = "block_idx long, text string, char_start int, char_end int, para_num long, type string, para_id string"
+
+
 def text_blocks(docs: DataFrame, sep: str = "\n") -> DataFrame:
     """Non-blank blocks of plain text with exact offsets (in characters) and types: heading, numbered or paragraph.
 
     ``para_num`` is the number printed before a numbered block; ``para_id`` is it, made unique by ``-2``, ``-3`` on repetition,
-    ``u-001`` for blocks without one, and null for headings.
+    ``u-001`` for blocks without one, and null for headings. A text's blocks are made where it lies, in one pass over it.
     """
-    parts = F.split("text", sep, -1)
-    lengths = F.transform(parts, lambda p: F.length(p) + len(sep))
-    starts = F.transform(parts, lambda p, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda s, x: s + x))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(parts.alias("raw"), starts.alias("at"))).alias("line", "b")).select("doc_id", "line", "b.raw", "b.at").where(F.trim("raw") != "")
-    rows = rows.withColumn("block_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")).cast("long"))
-    text = F.trim("raw")
-    start = F.col("at") + F.length("raw") - F.length(F.ltrim("raw"))
-    number = F.regexp_extract(text, r"^(\d{1,4})\.\s", 1).try_cast("long")
-    heading = (F.length(text) <= 120) & (F.upper(text) == text) & (F.lower(text) != text)
-    rows = rows.select("doc_id", "block_idx", text.alias("text"), start.alias("char_start"), (start + F.length(text)).alias("char_end"), number.alias("para_num"), F.when(heading, "heading").when(number.isNotNull(), "numbered").otherwise("paragraph").alias("type"))
-    same = Window.partitionBy("doc_id", "type", "para_num").orderBy("block_idx")
-    turn = F.row_number().over(same)
-    label = F.when(F.col("type") == "numbered", F.concat(F.col("para_num").cast("string"), F.when(turn > 1, F.concat(F.lit("-"), turn.cast("string"))).otherwise(""))).when(F.col("type") == "paragraph", F.concat(F.lit("u-"), F.lpad(turn.cast("string"), 3, "0")))
-    return rows.withColumn("para_id", label)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {TEXT_BLOCKS}"
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+    names = [c.split()[0] for c in TEXT_BLOCKS.split(", ")]
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = [r for k, text in enumerate(part.column("text").to_pylist()) if text for r in _text_rows(k, text, sep)]
+                columns = list(zip(*rows)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], ["doc_id", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def carry_forward(blocks: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.sources.scratch import written
+
 
 def edges_from(mentions: DataFrame, source: str, target: str) -> DataFrame:
     """One weighted edge per pair: how often source cites target."""
@@ -22,92 +26,148 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") * F.col("citation_count")).alias("cited"), F.sum(F.col("o") * F.col("citation_count")).alias("citing"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20, weighted: bool = False, save=None) -> DataFrame:
-    """Power iteration with dangling mass spread evenly; ranks sum to 1. ``save`` cuts lineage (by default ``checkpoint``) every round."""
-    save = save or (lambda df: df.checkpoint())
+def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 200, weighted: bool = False) -> DataFrame:
+    """PageRank with dangling mass spread evenly; ranks sum to 1.
+
+    That is the solution of ``x = 1 + alpha * P'x``, without dangling mass, divided by its sum; so it is iterated, and where
+    citations form no cycle as many rounds as their longest chain give it exactly. Rounds, each a written table, end when
+    they move less than ``tolerance`` of the whole, or after ``most``.
+    """
     w = F.col("citation_count").cast("double") if weighted else F.lit(1.0)
     out = edges.select("source", "target", w.alias("w"))
     total = out.groupBy("source").agg(F.sum("w").alias("total"))
-    links = save(out.join(total, "source").select("source", "target", (F.col("w") / F.col("total")).alias("p")))
-    nodes = save(nodes_from(edges).join(total.select(F.col("source").alias("node"), F.lit(True).alias("links")), "node", "left"))
-    n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("node", "links", F.lit(1.0 / n).alias("rank"))
-    for _ in range(iterations):
-        lost = ranks.where("links is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    links = written(out.join(total, "source").select("source", "target", (F.col("w") / F.col("total")).alias("p")))
+    ranks = written(nodes_from(edges).withColumn("rank", F.lit(1.0)))
+    whole = 1.0
+    for _ in range(most):
         sent = links.join(ranks, F.col("source") == F.col("node")).groupBy("target").agg(F.sum(F.col("p") * F.col("rank")).alias("sent"))
-        new = nodes.join(sent, F.col("node") == F.col("target"), "left").crossJoin(F.broadcast(lost))
-        ranks = save(new.select("node", "links", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
-    return ranks.select("node", "rank")
+        ranks = written(ranks.join(sent, F.col("node") == F.col("target"), "left").select("node", (1 + alpha * F.coalesce("sent", F.lit(0.0))).alias("rank"), F.col("rank").alias("before")))
+        moved, whole = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.sum("rank")).first()
+        ranks = ranks.drop("before")
+        if not whole or moved < tolerance * whole:
+            break
+    return ranks.select("node", (F.col("rank") / F.lit(whole or 1.0)).alias("rank"))
 
 
 def betweenness(edges: DataFrame, pivots: int | None = None, seed: int = 42, normalised: bool = True) -> DataFrame:
     """Shortest-path betweenness (Brandes) of a directed graph; with ``pivots`` from so many sources, scaled up.
 
-    Sources are spread over tasks, each of which holds the adjacency lists: meant for graphs whose edges fit one worker.
+    Paths from all sources go on together, a step a round: (source, node, paths) joined with the edges. Dependencies
+    then flow back level by level. Tables hold a row per source and node that it reaches, so on large graphs take pivots.
     """
-    spark = edges.sparkSession
-    pairs = [(r.source, r.target) for r in edges.select("source", "target").distinct().collect()]
-    adjacent: dict = {}
-    for s, t in sorted(pairs):
-        adjacent.setdefault(s, []).append(t)
-        adjacent.setdefault(t, [])
-    names = sorted(adjacent)
-    shared = spark.sparkContext.broadcast(adjacent)
-    chosen = nodes_from(edges)
-    if pivots is not None and pivots < len(names):
-        chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)
-    scale = len(names) / max(1, min(pivots or len(names), len(names)))
-    kind = dict(edges.dtypes)["source"]
-
-    def walk(batches):
-        import pandas as pd
-
-        graph, total = shared.value, {}
-        for pdf in batches:
-            for s in pdf["node"]:
-                order, before, count, far = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for x in graph[v]:
-                        if x not in far:
-                            far[x] = far[v] + 1
-                            count[x], before[x] = 0.0, []
-                            queue.append(x)
-                        if far[x] == far[v] + 1:
-                            count[x] += count[v]
-                            before[x].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for x in reversed(order):
-                    for v in before[x]:
-                        share[v] += count[v] / count[x] * (1 + share[x])
-                    if x != s:
-                        total[x] = total.get(x, 0.0) + share[x]
-        if total:
-            yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "part": list(total.values())})
-
-    n = len(names)
+    links = written(edges.select("source", "target").where("source <> target").distinct())
+    nodes = written(nodes_from(edges))
+    n = nodes.count()
+    chosen = nodes
+    if pivots is not None and pivots < n:
+        chosen = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)
+    scale = n / max(1, min(pivots or n, n))
+    level = written(chosen.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select("root", "node")
+    while True:
+        onward = level.join(links, F.col("node") == F.col("source")).groupBy("root", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = written(onward.join(seen, ["root", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.union(level.select("root", "node"))
+    share, parts = None, []
+    for near, far in zip(reversed(levels[:-1]), reversed(levels[1:])):
+        owed = far.withColumn("owed", F.lit(0.0)) if share is None else far.join(share, ["root", "node"], "left").withColumn("owed", F.coalesce("owed", F.lit(0.0)))
+        back = owed.select("root", F.col("node").alias("target"), ((1 + F.col("owed")) / F.col("paths")).alias("each")).join(links, "target").select("root", F.col("source").alias("node"), "each")
+        share = written(near.join(back, ["root", "node"]).groupBy("root", "node").agg(F.sum(F.col("paths") * F.col("each")).alias("owed")))
+        parts.append(share.where("root <> node").groupBy("node").agg(F.sum("owed").alias("part")))
     factor = scale / ((n - 1) * (n - 2)) if normalised and n > 2 else scale
-    parts = chosen.repartition(8).mapInPandas(walk, f"node {kind}, part double").groupBy("node").agg(F.sum("part").alias("part"))
-    return nodes_from(edges).join(parts, "node", "left").select("node", F.round(F.coalesce("part", F.lit(0.0)) * factor, 9).alias("betweenness"))
-
-
-def communities(edges: DataFrame, rounds: int = 10, save=None) -> DataFrame:
-    """Label propagation over undirected weights: each node takes its neighbours' heaviest label, the least of equally heavy ones."""
-    save = save or (lambda df: df.checkpoint())
-    both = edges.select("source", "target", "citation_count").union(edges.select("target", "source", "citation_count")).groupBy("source", "target").agg(F.sum("citation_count").alias("w"))
-    both = save(both.where("source <> target"))
-    labels = save(nodes_from(edges).select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        votes = both.join(labels, F.col("target") == F.col("node")).groupBy("source", "label").agg(F.sum("w").alias("w"))
-        best = votes.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("w"), "label"))).where("r = 1").select("source", F.col("label").alias("new"))
-        moved = save(labels.join(best, F.col("node") == F.col("source"), "left").select("node", F.least(F.col("label"), F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("changed")))
-        labels = moved.select("node", "label")
-        if not moved.where("changed").limit(1).count():
+    total = reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("part").alias("part")) if parts else nodes.select("node", F.lit(0.0).alias("part"))
+    return nodes.join(total, "node", "left").select("node", F.round(F.coalesce("part", F.lit(0.0)) * factor, 9).alias("betweenness"))
+
+
+def modularity(both: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Of symmetric weights (source, target, w) under labels (node, label)."""
+    a = labels.select(F.col("node").alias("source"), F.col("label").alias("s"))
+    b = labels.select(F.col("node").alias("target"), F.col("label").alias("t"))
+    joined = both.join(a, "source").join(b, "target")
+    whole = joined.groupBy("s").agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("s") == F.col("t"), F.col("w")).otherwise(0.0)).alias("inside"))
+    r = whole.agg(F.sum("degree").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("degree") * F.col("degree")).alias("squares")).first()
+    return (r.inside or 0.0) / r.m - resolution * r.squares / (r.m * r.m) if r.m else 0.0
+
+
+def communities(edges: DataFrame, seed: int = 42, least_gain: float = 1e-4, most: int = 30) -> DataFrame:
+    """Louvain communities over undirected weights: rows (node, label), the label being the least node of its community.
+
+    A round moves nodes to the neighbouring community of greatest modularity gain; half of the nodes, by a hash, move at a time,
+    so that neighbours don't swap. When rounds gain less than ``least_gain``, communities become the nodes of the next
+    level, until a level gains nothing.
+    """
+    pairs = edges.where("source <> target").select("source", "target", F.col("citation_count").cast("double").alias("w"))
+    both = written(pairs.union(pairs.select("target", "source", "w")).groupBy("source", "target").agg(F.sum("w").alias("w")))
+    place = nodes_from(edges).select("node", F.col("node").alias("label"))
+    best = 0.0
+    while True:
+        degree = written(both.groupBy(F.col("source").alias("node")).agg(F.sum("w").alias("k")))
+        m = degree.agg(F.sum("k")).first()[0] or 0.0
+        if not m:
+            break
+        labels = written(degree.select("node", F.col("node").alias("label"), "k"))
+        now = modularity(both, labels)
+        top = (now, labels)
+        for i in range(most):
+            for half in (0, 1):
+                mass = labels.groupBy("label").agg(F.sum("k").alias("mass"))
+                near = both.where("source <> target").join(labels.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node"), "label").agg(F.sum("w").alias("to"))
+                mover = labels.where(F.pmod(F.xxhash64("node", F.lit(seed + i)), F.lit(2)) == half).select("node", F.col("label").alias("own"), "k")
+                options = mover.join(near, "node").unionByName(mover.select("node", "own", "k", F.col("own").alias("label"), F.lit(0.0).alias("to")))
+                options = options.groupBy("node", "own", "k", "label").agg(F.sum("to").alias("to")).join(mass, "label")
+                others = F.col("mass") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
+                gain = F.round(F.col("to") - F.col("k") * others / m, 9)
+                pick = options.withColumn("gain", gain).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("less"), (F.col("label") != F.col("own")).alias("moves"), "label")).alias("p")).select("node", F.col("p.label").alias("new"))
+                labels = written(labels.join(pick, "node", "left").select("node", F.coalesce("new", "label").alias("label"), "k"))
+            after = modularity(both, labels)
+            if after > top[0]:
+                top = (after, labels)
+            if after - now < least_gain:
+                break
+            now = after
+        if top[0] - best < least_gain:
             break
-    return labels
+        best, labels = top
+        least = labels.groupBy("label").agg(F.min("node").alias("least"))
+        labels = written(labels.join(least, "label").select("node", F.col("least").alias("label")))
+        place = written(place.join(labels.toDF("label", "new"), "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+        ends = both.join(labels.toDF("source", "s"), "source").join(labels.toDF("target", "t"), "target")
+        both = written(ends.groupBy(F.col("s").alias("source"), F.col("t").alias("target")).agg(F.sum("w").alias("w")))
+    least = place.groupBy("label").agg(F.min("node").alias("least"))
+    return place.join(least, "label").select("node", F.col("least").alias("label"))
+
+
+def metrics(edges: DataFrame, pivots: int | None = 64) -> DataFrame:
+    """Every node with its degrees, PageRank, betweenness and community."""
+    found = degrees(edges).join(pagerank(edges), "node").join(betweenness(edges, pivots), "node")
+    return found.join(communities(edges).withColumnRenamed("label", "community"), "node", "left")
+
+
+def network_stats(mentions: DataFrame) -> DataFrame:
+    """Counts over references (appnos, target_node): all, resolved, unresolved, with an application number."""
+    done = F.col("target_node").isNotNull()
+    return mentions.agg(F.count("*").alias("total"), F.count_if(done).alias("resolved"), F.count_if(~done).alias("unresolved"), F.count_if(F.size("appnos") > 0).alias("with_appno"))
+
+
+def artifacts(resolved: DataFrame) -> DataFrame:
+    """One edge for each source and target of resolved references, with how often and by which of them, in order."""
+    rows = resolved.where("target_node is not null").groupBy(F.col("source_node").alias("source"), F.col("target_node").alias("target"))
+    return rows.agg(F.count("*").alias("citation_count"), F.array_sort(F.collect_list("mention_id")).alias("mention_ids"))
+
+
+def paragraph_edges(edges: DataFrame, occurrences: DataFrame, source_items: list[str] | None = None, components: list[str] | None = None, opinion_ids: list[str] | None = None, footnotes_only: bool = False) -> DataFrame:
+    """Paragraph edges (locus_id, ...) with what their occurrences add where the edge has nothing, of the items, components and opinions asked for."""
+    shared = [c for c in edges.columns if c in occurrences.columns and c != "locus_id"]
+    more = [c for c in occurrences.columns if c not in edges.columns]
+    o = occurrences.select(F.col("locus_id").alias("__locus"), *(F.col(c).alias(f"__{c}") for c in shared), *more)
+    rows = edges.join(o, F.col("locus_id") == F.col("__locus"), "left").select(*(F.coalesce(c, f"__{c}").alias(c) if c in shared else F.col(c) for c in edges.columns), *more)
+    for column, wanted in (("source_itemid", source_items), ("source_component", components), ("opinion_id", opinion_ids)):
+        if wanted is not None:
+            rows = rows.where(F.col(column).isin(list(wanted)))
+    return rows.where("is_footnote") if footnotes_only else rows
 
 
 def top_nodes(edges: DataFrame, scores: DataFrame, n: int) -> DataFrame:

@@ -55,3 +55,25 @@ def quote_evidence(quotes: DataFrame, texts: DataFrame, text: str = "text", quot
     exact = F.substr(F.col(text), F.col("start") + 1, F.length(quote)) == F.col(quote)
     status = F.when(exact, "exact").when(times == 1, "relocated").when(times == 0, "missing").otherwise("ambiguous")
     return joined.withColumn("status", status).withColumn("found_at", F.when(exact, F.col("start")).when(times == 1, F.instr(F.col(text), F.col(quote)) - 1)).drop(text)
+
+
+def find_quotes(texts: DataFrame, quotes: DataFrame, key: str = "doc_id", quote_key: str = "item_id", gram: int = 4) -> DataFrame:
+    """Which texts (key, text) hold which quotes (quote_key, quote), character by character: rows (key, quote_key, place, times), places from 0.
+
+    Each quote is looked for by the least hash of its runs of ``gram`` words, without its outer words, which a text may
+    print as part of longer ones; texts that have that run too are then compared with the quote. Quotes of fewer words
+    are compared with every text that is as long.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*(F.get(w, i - 1 + j) for j in range(gram))))
+    q = quotes.where(F.length("quote") > 0).withColumn("__w", split(F.col("quote"))).withColumn("__n", F.size("__w") - 2 - gram + 1)
+    long = q.where("__n > 0").withColumn("__w", F.slice("__w", 2, F.size("__w") - 2)).withColumn("__run", F.array_min(runs(F.col("__w"), F.col("__n")))).select(quote_key, "quote", "__run")
+    mine = texts.where("text is not null").select(key, split(F.col("text")).alias("__w")).withColumn("__n", F.size("__w") - gram + 1).where("__n > 0")
+    # only hashes meet; texts are read again for those that have a quote's run
+    hits = mine.select(key, F.explode(F.array_distinct(runs(F.col("__w"), F.col("__n")))).alias("__run")).join(long, "__run").select(key, quote_key, "quote")
+    found = hits.join(texts.select(key, "text"), key)
+    short = q.where("__n <= 0").select(quote_key, "quote")
+    if not short.isEmpty():
+        found = found.unionByName(texts.select(key, "text").join(short, F.contains("text", "quote")).select(key, quote_key, "quote", "text"))
+    times = ((F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote")).cast("int")
+    return found.withColumn("place", F.instr(F.col("text"), F.col("quote")) - 1).where("place >= 0").select(key, quote_key, "place", times.alias("times"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions import scalars as S
+from docketlake.sources.scratch import written
 
 BUCKETS = {
     "action_plans": ("acp",), "action_reports": ("acr",), "communications": ("obs", "apo", "gvo", "eo", "ngo", "nhri", "igo", "nto", "oorg", "oo"),
@@ -91,15 +92,25 @@ def resolve_keypoint(keypoints: DataFrame, query: str) -> DataFrame:
     return (keypoints.where(F.lower("label").contains(q)) if exact.isEmpty() else exact).select("id")
 
 
-def ancestors(keypoints: DataFrame, save=None) -> DataFrame:
-    """Every keypoint with all keypoints above it, level by level; a cycle ends where it would repeat. ``save`` cuts lineage (by default ``checkpoint``)."""
-    save = save or (lambda df: df.checkpoint())
-    up = save(keypoints.where("parent is not null").select("id", "parent"))
+def search_keypoints(keypoints: DataFrame, text: str) -> DataFrame:
+    """Ids and labels that contain the text, in any case; a keypoint without a label is never found."""
+    return keypoints.where(F.contains(F.lower("label"), F.lit(text.lower()))).select("id", "label")
+
+
+def keypoint_labels(rows: DataFrame, keypoints: DataFrame, column: str = "id") -> DataFrame:
+    """Rows with the label of the keypoint that a column names, null where it has none."""
+    named = keypoints.where("label is not null").select(F.col("id").alias("__id"), F.col("label").alias("keypoint_label"))
+    return rows.join(named, F.col(column).cast("string") == F.col("__id"), "left").drop("__id")
+
+
+def ancestors(keypoints: DataFrame) -> DataFrame:
+    """Every keypoint with all keypoints above it, level by level, each a written table; a cycle ends where it would repeat."""
+    up = written(keypoints.where("parent is not null").select("id", "parent"))
     step = up.select(F.col("id").alias("__from"), F.col("parent").alias("__next"))
     level = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("id", "parent").alias("path"))
     found = []
     while True:
-        level = save(level)
+        level = written(level)
         found.append(level.select("id", "ancestor", "distance"))
         level = level.join(step, F.col("ancestor") == F.col("__from")).where(~F.array_contains("path", F.col("__next")))
         level = level.select("id", F.col("__next").alias("ancestor"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("__next")).alias("path"))
@@ -126,7 +137,7 @@ def match_roster(names: DataFrame, roster: DataFrame) -> DataFrame:
     """Judges (name) with the roster row (name, country, first_year, last_year, ad_hoc) of the same folded name."""
     key = lambda c: F.trim(F.regexp_replace(S.fold(c), "[^a-z]+", " "))
     table = roster.select(key("name").alias("__k"), *(c for c in roster.columns if c != "name")).dropDuplicates(["__k"])
-    return names.withColumn("__k", key("name")).join(F.broadcast(table) if table.count() < 100_000 else table, "__k", "left").drop("__k")
+    return names.withColumn("__k", key("name")).join(table, "__k", "left").drop("__k")
 
 
 def match_external(names: DataFrame, entries: str = "external_sources", name: str = "cited_name") -> DataFrame:

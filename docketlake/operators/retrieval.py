@@ -9,12 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS = r"[^a-z0-9à-ÿ]+"
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORDS), lambda t: t != "")
-
+from docketlake.functions.scalars import fold_words, words
 
 def paragraphs(docs: DataFrame, sep: str = "\n") -> DataFrame:
     """Non-blank paragraphs numbered within their document: paragraph_id is ``<doc_id>:<n>``."""
@@ -23,28 +18,100 @@ def paragraphs(docs: DataFrame, sep: str = "\n") -> DataFrame:
 
 
 def postings(units: DataFrame, key: str) -> DataFrame:
-    """One row per term of each unit: frequency, positions and the unit's length."""
-    spread = units.select(key, words(F.col("text")).alias("w")).select(key, F.size("w").alias("len"), F.posexplode("w").alias("pos", "term"))
-    return spread.groupBy(key, "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
-
-
-def bm25(units: DataFrame, key: str, query: list[str], k: int | None = 25, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Units that hold a query term, best first. Only rows of the query's terms are shuffled; corpus length and count come from one aggregate."""
-    terms = [t.lower() for t in query]
+    """One row per term of each unit: frequency, positions and the unit's length. A unit's postings are made where it lies; nothing is shuffled."""
+    kind = dict(units.dtypes)[key]
+
+    def spread(batches):
+        for batch in batches:
+            lists = batch.column("w")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            encoded = lists.flatten().dictionary_encode()
+            size = np.diff(offsets)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            unit = np.repeat(np.arange(len(size)), size)
+            code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.arange(len(code)) - offsets[:-1][unit]
+            order = np.lexsort((place, code, unit))
+            unit, code, place = unit[order], code[order], place[order]
+            first = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+            ends = np.append(first, len(code))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key).take(pa.array(unit[first])), encoded.dictionary.take(pa.array(code[first])), pa.array(np.diff(ends)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32))), pa.array(size[unit[first]].astype(np.int32)),
+                ],
+                [key, "term", "tf", "positions", "len"],
+            )
+
+    return units.where("text is not null").select(key, words(F.col("text")).alias("w")).mapInArrow(spread, f"{key} {kind}, term string, tf long, positions array<int>, len int")
+
+
+def bm25(units: DataFrame, key: str, query: list[str] | str, k: int | None = 25, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """Units that hold a query term, best first. Only rows of the query's terms are shuffled; corpus length and count come from one aggregate.
+
+    Ranks are those of sums to 12 places, taken in one order of their parts; scores are shown to ``digits`` places.
+    """
+    terms = list(dict.fromkeys(fold_words(query if isinstance(query, str) else " ".join(query))))
     counted = units.select(key, words(F.col("text")).alias("w"))
     whole = counted.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("average"))
-    hits = counted.select(key, F.size("w").alias("len"), F.explode(F.filter("w", lambda t: t.isin(terms))).alias("term"))
-    hits = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    hits = counted.select(key, F.size("w").alias("len"), F.filter("w", lambda t: t.isin(terms)).alias("w")).where(F.size("w") > 0)
+    hits = hits.select(key, "len", F.explode(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))).alias("h")).select(key, "len", "h.*")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("average")))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
-    return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
+    parts = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole)).groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))  # as many parts as the query has terms
+    scored = parts.select(key, F.round(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x), 12).alias("score"))
+    if k is not None:
+        scored = scored.orderBy(F.desc("score"), key).limit(k)
+    return scored.withColumn("score", F.round("score", digits))
+
+
+def marked_snippet(text: Column, terms: list[str], around: int = 12) -> Column:
+    """The stretch of ``2 * around`` words and one more about the first word that is one of the terms, which are put in brackets."""
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    bare = F.transform(parts, lambda w: words(w))
+    found = F.transform(bare, lambda ws: F.exists(ws, lambda t: t.isin(terms)))
+    at = F.array_position(found, F.lit(True)).cast("int")
+    start = F.greatest(at - around, F.lit(1))
+    shown = F.transform(F.slice(F.arrays_zip(parts.alias("w"), found.alias("f")), start, at + around - start + 1), lambda x: F.when(x["f"], F.concat(F.lit("["), x["w"], F.lit("]"))).otherwise(x["w"]))
+    cut = F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " "), F.when(at + around < F.size(parts), " …").otherwise(""))
+    return F.when(at > 0, cut)
+
+
+def search_paragraphs(units: DataFrame, query: str, key: str = "paragraph_id", limit: int = 20, **filters) -> DataFrame:
+    """Paragraphs that hold every word of the query and pass the filters, best first: key, text, snippet, score and ``lexical_rank``.
+
+    Frequencies are those of all paragraphs; filters name a column and the value that it must have.
+    """
+    terms = list(dict.fromkeys(fold_words(query)))
+    if not terms:
+        raise ValueError("the query has no word")
+    have = words(F.col("text"))
+    found = units
+    for name, value in filters.items():
+        if value is not None:
+            found = found.where(F.col(name) == value)
+    for t in terms:
+        found = found.where(F.array_contains(have, t))
+    ranked = bm25(units, key, terms, None).join(found, key, "left_semi").orderBy(F.desc("score"), key).limit(limit)
+    best = ranked.join(units.select(key, "text"), key).withColumn("snippet", marked_snippet(F.col("text"), terms))
+    # at most ``limit`` rows
+    return best.withColumn("lexical_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), key)))
+
+
+def get_paragraphs(units: DataFrame, doc_id, para_num: int | None = None, section: str | None = None, limit: int = 100) -> DataFrame:
+    """Paragraphs of a document in order, of one number or section if asked for."""
+    found = units.where(F.col("doc_id") == F.lit(doc_id))
+    if para_num is not None:
+        found = found.where(F.col("para_num") == para_num)
+    if section is not None:
+        found = found.where(F.col("section") == section)
+    return found.orderBy("para_num").limit(limit)
 
 
 def phrase_search(units: DataFrame, key: str, phrase: str) -> DataFrame:
     joined = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
-    return units.where(F.contains(joined, F.lit(" " + " ".join(phrase.lower().split()) + " "))).select(key)
+    return units.where(F.contains(joined, F.lit(" " + " ".join(fold_words(phrase)) + " "))).select(key)
 
 
 def near_search(units: DataFrame, key: str, first: str, second: str, distance: int = 5) -> DataFrame:
@@ -52,7 +119,7 @@ def near_search(units: DataFrame, key: str, first: str, second: str, distance: i
     placed = F.transform(words(F.col("text")), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
 
     def places(word: str) -> Column:
-        return F.transform(F.filter(placed, lambda p: p["t"] == word.lower()), lambda p: p["i"])
+        return F.transform(F.filter(placed, lambda p: p["t"] == fold_words(word)[0]), lambda p: p["i"])
 
     a, b = places(first), places(second)
     gaps = F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
@@ -108,25 +175,29 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str
                 if not n:
                     continue
                 flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)
-                scores = np.round(q @ _unit(flat.reshape(n, -1)).T, 6) + 0.0
-                least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+                scores = q @ _unit(flat.reshape(n, -1)).T
+                least = np.partition(scores, n - k, axis=1)[:, n - k] - 1e-11 if n > k else np.full(len(q), -np.inf)
                 row, at = np.nonzero(scores >= least[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(key).take(pa.array(at)), pa.array(scores[row, at])], ["row", key, "score"])
 
         names = spark.createDataFrame(list(enumerate(ids)), f"row long, query_id {dict(queries.dtypes)[query_key]}")
         rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), key))
-        best = table.mapInArrow(score, schema).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-        best = best.join(F.broadcast(names), "row").select("query_id", key, "score", "rank")
+        # equal vectors give sums that differ in the last places, so ranks see 12 of them
+        best = table.mapInArrow(score, schema).withColumn("score", F.round("score", 12)).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        best = best.join(F.broadcast(names), "row").select("query_id", key, (F.round("score", 6) + F.lit(0.0)).alias("score"), "rank")
         found = best if found is None else found.union(best)
     if found is None:
         return table.select(F.lit(None).cast(dict(queries.dtypes)[query_key]).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
     return found
 
 
-def reciprocal_rank_fusion(lists: list[DataFrame], key: str, top_k: int, rrf_k: int = 60, scores: tuple[str, ...] = ("lexical_score", "dense_score")) -> DataFrame:
-    """Sum of 1 / (rrf_k + rank) over ranked lists (columns key, score); equal sums in order of the key as a string."""
+def reciprocal_rank_fusion(lists: list[DataFrame], key: str, top_k: int, rrf_k: int = 60, scores: tuple[str, ...] = ("lexical_score", "dense_score"), candidates: int = 10_000) -> DataFrame:
+    """Sum of 1 / (rrf_k + rank) over ranked lists (columns key, score); equal sums in order of the key as a string.
+
+    Of each list the best ``candidates`` count, so that ranking holds no more in one task.
+    """
     order = lambda s: Window.orderBy(F.desc("score"), F.col(key).cast("string"))
-    parts = [x.select(key, F.lit(i).alias("list"), "score", F.row_number().over(order(x)).alias("rank")) for i, x in enumerate(lists)]
+    parts = [x.select(key, F.lit(i).alias("list"), "score", F.row_number().over(order(x)).alias("rank")) for i, x in enumerate(x.orderBy(F.desc("score"), F.col(key).cast("string")).limit(candidates) for x in lists)]
     every = reduce(DataFrame.unionByName, parts)
     fused = every.groupBy(key).agg(
         F.round(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))), 9).alias("rrf_score"), *(F.max(F.when(F.col("list") == i, F.col("score"))).alias(name) for i, name in zip(range(len(lists)), scores))
@@ -161,7 +232,7 @@ class HybridRetriever:
         k = self.candidate_k if fused else self.top_k
         lists = []
         if query is not None:
-            lists.append(bm25(units, self.key, query.split(), k))
+            lists.append(bm25(units, self.key, query, k))
         if vector is not None:
             one = units.sparkSession.createDataFrame([(0, vector)], "q int, embedding array<double>")
             lists.append(dense_top_k(units.where("embedding is not null"), one, self.key, "q", k).select(self.key, "score"))
