@@ -138,6 +138,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BY_PLACE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting: for long arrays many times as fast as a hash table."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def segment_ids(offsets: np.ndarray) -> np.ndarray:
     """For each element, the number of the segment that holds it."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, block_pairs, hash_words, mix, row_of, runs, segment_ids, slices, sum_segments, texts_of
+from docketlake.llm.common import Scratch, block_pairs, distinct, hash_words, mix, row_of, runs, segment_ids, slices, sum_segments, texts_of
 from docketlake.llm.exact_search import split_terms
 
 BITS = 18
@@ -72,7 +72,7 @@ def _line_sets(part: pa.RecordBatch, counts: np.ndarray, threshold: float, min_t
     rank = np.empty(len(terms), np.int64)
     rank[order] = np.arange(len(terms))
     width = max(1, len(terms))
-    key = np.unique(segment_ids(offsets) * width + rank[codes])
+    key = distinct(segment_ids(offsets) * width + rank[codes])
     line = key // width
     token = hashed[order[key % width]] if len(key) else np.zeros(0, np.uint64)
     n = np.bincount(line, minlength=len(flat))
@@ -147,7 +147,7 @@ def _token_sets(batches):
     for part in slices(batches, "piece"):
         terms, codes, offsets = split_terms(part.column("piece"))
         width = max(1, len(terms))
-        key = np.unique(segment_ids(offsets) * width + codes)
+        key = distinct(segment_ids(offsets) * width + codes)
         starts = np.searchsorted(key, np.arange(part.num_rows + 1) * width)
         tokens = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hash_words(terms).view(np.int64)[key % width]) if len(key) else pa.array([], pa.int64()))
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row", "line")), tokens], ["doc_id", "row", "line", "tokens"])

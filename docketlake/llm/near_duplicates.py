@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, block_pairs, distinct_rows, hash_words, keep_rows, mix, row_of, segment_ids, slices, texts_of
+from docketlake.llm.common import Scratch, block_pairs, distinct, distinct_rows, hash_words, keep_rows, mix, row_of, segment_ids, slices, texts_of
 from docketlake.llm.components import connected_components
 from docketlake.llm.exact_search import split_terms
 
@@ -248,7 +248,7 @@ def _shingle_sets(batches):
     """The distinct 3-grams of each text, by 32 bits of their hashes."""
     for part in slices(batches):
         key, starts = shingles(part.column("text"))
-        flat = np.unique((segment_ids(starts).astype(np.uint64) << np.uint64(32)) | (key >> np.uint64(32)))
+        flat = distinct((segment_ids(starts).astype(np.uint64) << np.uint64(32)) | (key >> np.uint64(32)))
         offsets = np.searchsorted(flat, np.arange(part.num_rows + 1, dtype=np.uint64) << np.uint64(32))
         sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.uint32).view(np.int32)))
         yield pa.RecordBatch.from_arrays([part.column("point"), sets], ["point", "grams"])

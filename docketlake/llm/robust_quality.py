@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, slices, split_words, sum_segments, texts_of, word_bytes
+from docketlake.llm.common import Scratch, distinct, slices, split_words, sum_segments, texts_of, word_bytes
 
 NAMES = ("log_words", "log_word_length", "symbols", "capitals", "digits", "variety", "log_line_length")
 #: The least standard deviation of each statistic, added to every scatter: a statistic that most documents of a group share exactly doesn't make all others outliers.
@@ -92,7 +92,7 @@ def statistics_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         wide[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
     lines = sum_segments((data == 10).astype(np.int64), at) + 1
     doc = np.repeat(np.arange(len(size)), size)
-    kinds = np.unique(doc * max(1, len(words)) + codes)
+    kinds = distinct(doc * max(1, len(words)) + codes)
     types = np.bincount(kinds // max(1, len(words)), minlength=len(size))
     n = np.maximum(size, 1)
     x = [
