@@ -525,3 +525,6 @@ def exclusive_spans(t):
 def section_blocks(t):
     return B.sections(B.text_blocks(t("documents"))).groupBy("doc_id", "section").agg(F.count("*").alias("blocks"))
 
+
+
+from docketlake.plans import case_queries  # noqa: E402, F401  registers its queries
