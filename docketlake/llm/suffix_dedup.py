@@ -5,20 +5,23 @@ that overlap by the window, alike wherever the same words stand. A phrase that o
 so only occurrences of repeated phrases go on. Around each of these the parse (the words from the phrase on) and the
 dictionary (the words back to the phrase before) are sorted: the parse's suffix array with its common prefix lengths, and the same of
 the tails read backwards. A corpus suffix is a tail and a parse suffix, and the two arrays combined give the order
-of corpus suffixes and tell which of them share ``min_words`` words, on the words themselves.
+of the corpus suffixes that share the phrase and tell which of them share ``min_words`` words. Words are compared by 32 bits of
+their hashes, all ``min_words`` of them one by one.
 
-Work is spread by phrase: suffixes that share that many words share the first whole phrase among them. Stretches with no whole
-phrase (about 1 % of ordinary text, and texts of one word repeated) are compared by a fingerprint of all their words.
+Work is spread by phrase: suffixes that share that many words share the first whole phrase among them, so the global order is
+never needed at once. Occurrences with the very same words around them are one row of the arrays, however many there are:
+they are counted together before anything is gathered by phrase, and what is found for one holds for all. Stretches with
+no whole phrase (about 1 % of ordinary text, and texts of one word repeated) are compared by a fingerprint of all their words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.llm.common import Scratch, hash_words, mix, slices, texts_of
+from docketlake.llm.common import Scratch, hash_words, mix, row_of, slices, texts_of
 from docketlake.llm.exact_search import split_terms
 
 WINDOW = 4
@@ -82,11 +85,11 @@ def _keys(part: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
     key = np.concatenate([prints, mix(p.print(bare, min_words) ^ np.uint64(BASE))])
     whole = np.concatenate([np.ones(len(k), bool), np.zeros(len(bare), bool)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array((place - p.offsets[doc]).astype(np.int32)), pa.array(whole)], ["key", "doc_id", "place", "whole"]
+        [pa.array(key.view(np.int64)), *(part.column(c).take(pa.array(doc)) for c in ("doc_id", "row")), pa.array((place - p.offsets[doc]).astype(np.int32)), pa.array(whole)], ["key", "doc_id", "row", "place", "whole"]
     )
 
 
-CONTEXTS = "phrase long, doc_id long, at int, low int, words binary"
+CONTEXTS = "phrase long, doc_id long, row long, at int, low int, print long, words binary"
 
 
 def _contexts(part: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
@@ -113,12 +116,13 @@ def _contexts(part: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(prints[np.searchsorted(k, use)].view(np.int64)),
-            part.column("doc_id").take(pa.array(doc)),
+            *(part.column(c).take(pa.array(doc)) for c in ("doc_id", "row")),
             pa.array((p.triggers[use] - base).astype(np.int32)),
             pa.array((low - base).astype(np.int32)),
+            pa.array(mix(p.print(low, high + min_words - low) ^ (high - low).astype(np.uint64)).view(np.int64)),
             pa.array(data, pa.binary()),
         ],
-        ["phrase", "doc_id", "at", "low", "words"],
+        ["phrase", "doc_id", "row", "at", "low", "print", "words"],
     )
 
 
@@ -133,18 +137,18 @@ def _classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rank, np.concatenate([[-1], common])
 
 
-def _repeats(group: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, words: list[bytes], min_words: int) -> pa.RecordBatch:
-    """Ranges of places whose ``min_words`` words occur again, from the parse's and the dictionary's suffix arrays."""
-    order = np.lexsort((at, doc))
-    # rows that share a key and a text give the same context again
-    again = [i > 0 and (doc[a], at[a], group[a], words[a]) == (doc[b], at[b], group[b], words[b]) for i, (a, b) in enumerate(zip(order, np.roll(order, 1)))]
-    order = order[~np.array(again, bool)]
-    group, doc, at, low = group[order], doc[order], at[order], low[order]
-    words = [words[i] for i in order]
+RANGES = "context long, start int, stop int, leads boolean"
+
+
+def _repeats(context: np.ndarray, group: np.ndarray, many: np.ndarray, tail: np.ndarray, words: list[bytes], min_words: int) -> pa.RecordBatch:
+    """Of contexts in order of their first places: ranges, counted from the phrase, where the ``min_words`` words from a place on occur
+    elsewhere too, from the parse's and the dictionary's suffix arrays; ``leads`` where they occur nowhere before the context's first place.
+
+    ``many`` tells contexts that occur at several places themselves, ``tail`` their number of words before the phrase.
+    """
     size = np.array([len(w) // 4 for w in words], np.int64)
     flat = np.frombuffer(b"".join(words), np.uint32)
     begin = np.cumsum(size) - size
-    tail = at - low  # words before the phrase
     deepest = int(tail.max(initial=0))
 
     def spread(start: np.ndarray, count: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -154,20 +158,16 @@ def _repeats(group: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray
 
     parse, parse_lcp = _classes(spread(begin + tail, size - tail, min_words, 1), group)
     back, back_lcp = _classes(spread(begin + tail - 1, tail, deepest, -1), group)
-    high = low + size - min_words  # the last place of each row's range
     found = []
     for a in range(deepest + 1):
-        row = np.flatnonzero((tail >= a) & (at - a <= high))
+        row = np.flatnonzero((tail >= a) & (-a <= size - min_words - tail))
         left = np.cumsum(back_lcp < a)[back[row]]
         right = np.cumsum(parse_lcp < min_words - a)[parse[row]]
-        _, index, inverse, count = np.unique(left * (len(at) + 1) + right, return_index=True, return_inverse=True, return_counts=True)
-        again = count[inverse] > 1
+        _, index, inverse = np.unique(left * (len(group) + 1) + right, return_index=True, return_inverse=True)
+        again = np.bincount(inverse, 1 + many[row])[inverse] > 1
         leads = np.zeros(len(row), bool)
         leads[index] = True
-        # several copies of the earliest row (one doc_id given twice) all lead
-        head = row[index][inverse]
-        leads |= (doc[row] == doc[head]) & (at[row] == at[head])
-        found.append((row[again], (at[row] - a)[again], leads[again]))
+        found.append((row[again], np.full(int(again.sum()), -a), leads[again]))
     row, place, leads = (np.concatenate([f[i] for f in found]) for i in range(3))
     order = np.lexsort((place, leads, row))
     row, place, leads = row[order], place[order], leads[order]
@@ -175,20 +175,17 @@ def _repeats(group: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray
     new[1:] = (row[1:] != row[:-1]) | (leads[1:] != leads[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(row)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(place[first].astype(np.int32)), pa.array((place[first] + n - 1 + min_words).astype(np.int32)), pa.array(leads[first])], ["doc_id", "start", "stop", "is_first"])
-
-
-RANGES = "doc_id long, start int, stop int, is_first boolean"
+    return pa.RecordBatch.from_arrays([pa.array(context[row[first]]), pa.array(place[first].astype(np.int32)), pa.array((place[first] + n - 1 + min_words).astype(np.int32)), pa.array(leads[first])], ["context", "start", "stop", "leads"])
 
 
 def _shard(batches, min_words: int):
-    held = pa.table({"phrase": pa.array([], pa.int64())})
+    """Ranges of the contexts of whole phrases; rows come sorted by phrase and first place."""
     parts: list[pa.RecordBatch] = []
     count = 0
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        get = lambda c: table.column(c).to_numpy().astype(np.int64)
-        return _repeats(get("phrase"), get("doc_id"), get("at"), get("low"), table.column("words").to_pylist(), min_words)
+        get = lambda c: table.column(c).to_numpy()
+        return _repeats(get("context"), get("phrase"), get("many"), get("tail").astype(np.int64), table.column("words").to_pylist(), min_words)
 
     for batch in batches:
         parts.append(batch)
@@ -196,7 +193,8 @@ def _shard(batches, min_words: int):
         if count >= CHUNK:
             held = pa.Table.from_batches(parts)
             phrase = held.column("phrase").to_numpy()
-            cut = int(np.flatnonzero(phrase == phrase[-1])[0])
+            other = np.flatnonzero(phrase != phrase[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield work(held.slice(0, cut))
                 rest = held.slice(cut).combine_chunks()
@@ -213,29 +211,55 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     stretches at the earliest of their places (by doc_id, then place) from those that repeat an earlier one.
 
     Null, empty or shorter texts and null keys have no rows. Rows that share a doc_id and a text are one document; rows that
-    share a doc_id alone are matched each on its own. Other columns aren't read. An empty table gives no rows.
+    share a doc_id alone are documents of their own, in an order of their own within the key, each with its passages. Other
+    columns aren't read. An empty table gives no rows.
     """
+    return _passages(docs, min_words, row_of(docs)).drop("row")
+
+
+def _passages(docs: DataFrame, min_words: int, row: Column) -> DataFrame:
+    """repeated_passages() with the ``row`` of each document, as row_of() has it."""
     scratch = Scratch(docs.sparkSession)
-    texts = texts_of(docs).where("doc_id is not null")
-    keys = texts.mapInArrow(lambda batches: (_keys(part, min_words) for part in slices(batches)), "key long, doc_id long, place int, whole boolean")
-    same = Window.partitionBy("key", "whole")
-    place = F.struct("doc_id", "place")
-    keys = keys.withColumn("first", F.min(place).over(same)).withColumn("last", F.max(place).over(same)).where("first <> last")
-    keys = scratch.save(keys.select("doc_id", "place", "whole", (F.col("first") == place).alias("is_first")), "repeated")
+    texts = texts_of(docs, row.alias("row")).where("doc_id is not null")
+    keys = texts.mapInArrow(lambda batches: (_keys(part, min_words) for part in slices(batches)), "key long, doc_id long, row long, place int, whole boolean")
+    keys = scratch.save(keys, "keys")
+    place, mark = F.struct("doc_id", "row", "place"), F.xxhash64("doc_id", "row", "place")
+    # counted where they lie, then by key: a phrase in a third of all texts is a number here
+    twice = keys.where("whole").select("key", mark.alias("mark")).groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key")
+    whole = scratch.save(keys.where("whole").join(twice, "key", "left_semi").select("doc_id", "row", "place"), "repeated")
+    bare = keys.where("not whole")
+    firsts = bare.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
+    bare = bare.join(firsts, "key").select("doc_id", "row", F.col("place").alias("start"), (F.col("place") + min_words).cast("int").alias("stop"), (F.col("first") == place).alias("is_first"))
+    bare = scratch.save(bare, "bare")
+    scratch.drop("keys")
+    scratch.release()
+    marked = whole.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")).toDF("m_doc", "m_row", "places")
+    around = texts.join(marked, (F.col("doc_id") == F.col("m_doc")) & (F.col("row") == F.col("m_row"))).select("doc_id", "row", "text", "places")
+    contexts = scratch.save(around.mapInArrow(lambda batches: (_contexts(part, min_words) for part in slices(batches)), CONTEXTS), "contexts")
+    scratch.drop("repeated")
+    scratch.release()
+
+    place, same = F.struct("doc_id", "row", "at"), ["phrase", "print", "tail"]
+    contexts = contexts.withColumn("tail", F.col("at") - F.col("low"))
+    alike = contexts.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("words").alias("words"))
+    alike = scratch.save(alike.withColumn("context", F.monotonically_increasing_id()).withColumn("many", (F.col("first") != F.col("last")).cast("long")), "alike")
     scratch.release()
-    bare = keys.where("not whole").select("doc_id", F.col("place").alias("start"), (F.col("place") + min_words).cast("int").alias("stop"), "is_first")
-    marked = keys.where("whole").groupBy("doc_id").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("m_doc"), "places")
-    around = texts.join(marked, F.col("doc_id") == F.col("m_doc")).select("doc_id", "text", "places")
-    contexts = around.mapInArrow(lambda batches: (_contexts(part, min_words) for part in slices(batches)), CONTEXTS)
-    ordered = contexts.repartition("phrase").sortWithinPartitions("phrase")
-    ranges = scratch.save(ordered.mapInArrow(lambda batches: _shard(batches, min_words), RANGES).union(bare), "ranges")
+    ordered = alike.select("phrase", "first", "context", "many", "tail", "words").repartition("phrase").sortWithinPartitions("phrase", "first").drop("first")
+    ranges = scratch.save(ordered.mapInArrow(lambda batches: _shard(batches, min_words), RANGES), "ranges")
+    found = ranges.join(alike.select("context", "many", "first", *same), "context")
+    shift = lambda c, at: (F.col(at) + F.col(c)).cast("int").alias(c)
+    own = found.select("first.doc_id", "first.row", shift("start", "first.at"), shift("stop", "first.at"), F.col("leads").alias("is_first"))
+    others = contexts.select("doc_id", "row", "at", *same).join(found.where("many = 1").select(*same, "first", "start", "stop"), same).where(place != F.col("first"))
+    others = others.select("doc_id", "row", shift("start", "at"), shift("stop", "at"), F.lit(False).alias("is_first"))
+    spread = scratch.save(own.union(others).union(bare), "spread")
+    scratch.drop("contexts", "alike", "ranges", "bare")
     scratch.release()
 
-    order = Window.partitionBy("doc_id", "is_first").orderBy("start", "stop")
+    order = Window.partitionBy("doc_id", "row", "is_first").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    steps = ranges.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = steps.groupBy("doc_id", "is_first", "passage").agg(F.min("start").alias("first_word"), F.max("stop").alias("stop"))
-    return spans.select("doc_id", "first_word", (F.col("stop") - F.col("first_word")).alias("n_words"), "is_first")
+    steps = spread.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = steps.groupBy("doc_id", "row", "is_first", "passage").agg(F.min("start").alias("first_word"), F.max("stop").alias("stop"))
+    return spans.select("doc_id", "row", "first_word", (F.col("stop") - F.col("first_word")).alias("n_words"), "is_first")
 
 
 SQL = r"""

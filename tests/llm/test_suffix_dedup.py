@@ -59,3 +59,23 @@ def test_odd_rows(spark):
     got = sorted(tuple(r) for r in repeated_passages(frame).collect())
     assert got == [(1, 3, 60, True), (2, 0, 60, False), (6, 40000, 60, False)]
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_that_share_a_key(spark):
+    rng = np.random.default_rng(14)
+    text = [f"p{int(x)}" for x in rng.integers(0, 500, 80)]
+    rows = [(1, " ".join(text)), (1, " ".join(["a", "b", *text, "c", "d"])), (1, " ".join(text)), (2, "short")]
+    got = sorted((r.first_word, r.n_words, r.is_first) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got in ([(0, 80, True), (2, 80, False)], [(0, 80, False), (2, 80, True)])
+
+
+def test_a_passage_in_very_many_texts(spark):
+    """Copies of one passage, in contexts that are alike and that differ, some of them within one text."""
+    rng = np.random.default_rng(15)
+    passage = [f"p{int(x)}" for x in rng.integers(0, 900, 70)]
+    docs = []
+    for i in range(3000):
+        before = [f"u{int(x)}" for x in rng.integers(0, 10**6, 5)] if i % 3 == 0 else []
+        docs.append((i, " ".join(before + passage + ([f"v{i}"] if i % 5 == 0 else []) + (passage if i % 500 == 0 else []))))
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert covered(rows) == brute(docs, 50)
