@@ -120,6 +120,96 @@ def html_to_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return pages.select(key, convert(F.col(html)).alias("text"))
 
 
+NOTE = re.compile(r"#?_?ftn(\d+)", re.I)
+
+
+class _Markdown(_Blocks):
+    """Blocks as Markdown: headings, lists, quotes, emphasis, links and footnotes."""
+
+    def __init__(self):
+        super().__init__()
+        self.links: list[tuple] = []
+        self.note, self.first, self.around, self.depth = None, False, "", 0
+
+    def close_block(self) -> None:
+        marks = ("_" if self.italic else "") + ("**" if self.bold else "")
+        text = re.sub(r"\s+", " ", re.sub(r"\*\*(\s*)\*\*", r"\1", "".join(self.now["text"]) + marks)).strip()
+        self.links = []
+        if not text:
+            return
+        tag = self.now["tag"]
+        lead = "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else {"li": "- ", "blockquote": "> "}.get(tag, "")
+        if self.note:
+            lead = f"[^{self.note}]: " if self.first else "    "
+            text = re.sub(rf"^\[?{self.note}\]?[.)]?\s*", "", text) if self.first else text
+            self.first = False
+        self.found.append({"text": lead + text})
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        noted = NOTE.fullmatch(str(named.get("id") or ""))
+        if noted and tag != "a":
+            self.close_block()
+            self.now, self.bold, self.italic = self.fresh(""), 0, 0
+            self.note, self.first, self.around, self.depth = noted[1], True, tag, 0
+        self.depth += bool(self.note) and tag == self.around
+        bold, italic = self.bold, self.italic
+        super().handle_starttag(tag, attrs)
+        if self.silent:
+            return
+        if self.bold > bold == 0:
+            self.now["text"].append("**")
+        if self.italic > italic == 0:
+            self.now["text"].append("_")
+        if tag == "a":
+            self.links.append((str(named.get("href") or ""), len(self.now["text"])))
+
+    def handle_endtag(self, tag):
+        bold, italic, now = self.bold, self.italic, self.now
+        if tag == "a" and self.links and not self.silent:
+            href, at = self.links.pop()
+            held = "".join(now["text"][at:])
+            if noted := NOTE.fullmatch(href):
+                now["text"][at:] = [f"[^{noted[1]}]"]
+            elif href and not href.startswith("#") and held.strip():
+                now["text"][at:] = [f"[{held.strip()}]({href})"]
+        super().handle_endtag(tag)
+        if self.now is now and not self.silent:
+            if bold and not self.bold:
+                now["text"].append("**")
+            if italic and not self.italic:
+                now["text"].append("_")
+        if self.note and tag == self.around:
+            self.depth -= 1
+            if not self.depth:
+                self.close_block()
+                self.now, self.note = self.fresh(""), None
+
+
+def markdown_of(html: str | None) -> str:
+    parser = _Markdown()
+    parser.feed(html or "")
+    parser.close()
+    parser.close_block()
+    return "\n\n".join(b["text"] for b in parser.found)
+
+
+def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Pages as Markdown; links to footnotes become ``[^n]`` and their bodies ``[^n]: ``. Null or empty HTML gives an empty text."""
+
+    @F.pandas_udf("string")
+    def convert(values: pd.Series) -> pd.Series:
+        return values.map(markdown_of)
+
+    return pages.select(key, convert(F.col(html)).alias("text"))
+
+
+def spine_text(blocks: DataFrame, sep: str = "\n\n") -> DataFrame:
+    """The text that block offsets count in: each document's blocks in order, joined."""
+    rows = F.array_sort(F.collect_list(F.struct("block_idx", "text")))
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda b: b["text"]), sep).alias("text"))
+
+
 def _text_rows(doc_id, text: str, sep: str) -> list[tuple]:
     at, rows, seen, bare = 0, [], {}, 0
     for raw in text.split(sep):

@@ -19,6 +19,7 @@ from docketlake.operators import retrieval as RT
 from docketlake.operators import reference_data as RD
 from docketlake.operators import spans as SP
 from docketlake.operators import studies as ST
+from docketlake.sources.graph_files import gexf_lines
 from docketlake.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +213,16 @@ def spine_blocks(t):
     return B.text_blocks(t("documents")).select("doc_id", "block_idx", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"), "type")
 
 
+@query()
+def page_markdown(t):
+    return B.html_to_markdown(t("pages"))
+
+
+@query("SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY i) AS text FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE x <> '' GROUP BY doc_id")
+def spine_texts(t):
+    return B.spine_text(B.text_blocks(t("documents")))
+
+
 @query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS asked FROM conversations")
 def carry_last_established(t):
     rows = t("conversations").withColumn("own", F.when(F.col("role") == "user", F.col("turn")))
@@ -324,6 +335,15 @@ def edges_aggregated(t):
     return _edges(t)
 
 
+@query(f"""WITH {EDGES} SELECT section::INT AS section, place, line FROM (
+SELECT 1 AS section, node AS place, '<node id="' || node || '" label="' || node || '"></node>' AS line FROM (SELECT source AS node FROM e UNION SELECT target FROM e)
+UNION ALL SELECT 3, source || chr(9) || target, '<edge source="' || source || '" target="' || target || '"><attvalues><attvalue for="0" value="' || citation_count || '"/></attvalues></edge>' FROM e)""")
+def graph_gexf(t):
+    """The lines of nodes and edges, without the frame of the file."""
+    edges = _edges(t)
+    return gexf_lines(G.nodes_from(edges).withColumnRenamed("node", "id"), edges).where("section in (1, 3)")
+
+
 @query(f"WITH {EDGES} SELECT source AS node FROM e UNION SELECT target FROM e")
 def nodes_from_edges(t):
     return G.nodes_from(_edges(t))
