@@ -31,7 +31,19 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later job reads, and lets the driver's JVM notice shuffles that nothing refers to."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(table._written)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def drop_written(spark: SparkSession) -> None:

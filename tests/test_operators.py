@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docketlake.operators import blocks, citations, graph, local, quality, reconcile, records, retrieval, studies
 from docketlake.operators.predicates import Q, one_of, query_from_url, search, search_query, sort_by
-from docketlake.sources import tables
+from docketlake.sources import scratch, tables
 from docketlake.streaming import logs
 
 
@@ -114,6 +114,39 @@ def test_graph(spark):
     assert graph.compare_edges(edges, edges.where("source = 'a'")).first().asDict() == {"shared": 2, "only_mine": 2, "only_other": 0}
 
 
+def test_betweenness_in_blocks(spark):
+    """Blocks of sources give the same, and none of their tables is left."""
+    edges = spark.createDataFrame([(f"p{i}", f"s{i % 4}", 1) for i in range(12)] + [(f"s{i}", f"n{i % 2}", 1) for i in range(4)] + [("n0", "r", 1), ("n1", "r", 1), ("r", "p0", 1), ("p1", "s2", 1)], "source string, target string, citation_count long")
+    before = len(scratch._WRITTEN)
+    whole = {r.node: r.betweenness for r in graph.betweenness(edges).collect()}
+    assert len(scratch._WRITTEN) - before <= 2
+    assert {r.node: r.betweenness for r in graph.betweenness(edges, block_rows=40).collect()} == whole
+    want = _brandes([(r.source, r.target) for r in edges.collect()])
+    assert whole == pytest.approx(want, abs=1e-8)
+
+
+def _brandes(pairs):
+    nodes = {x for p in pairs for x in p}
+    onward = {v: [t for s, t in pairs if s == v] for v in nodes}
+    total = dict.fromkeys(nodes, 0.0)
+    for root in nodes:
+        far, paths, order = {root: 0}, {root: 1}, [root]
+        for v in order:
+            for t in onward[v]:
+                if t not in far:
+                    far[t], paths[t] = far[v] + 1, 0
+                    order.append(t)
+                if far[t] == far[v] + 1:
+                    paths[t] += paths[v]
+        owed = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            owed[v] = sum(paths[v] / paths[t] * (1 + owed[t]) for t in onward[v] if far[t] == far[v] + 1)
+            if v != root:
+                total[v] += owed[v]
+    n = len(nodes)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><script>'</p>'</script><h1>Head</h1><p>One<br>two <b>three</b><p><b>Bold &amp; all</b></p><ul><li>x <a href='#n1'>1</a></li></ul></body>"
     rows = blocks.html_blocks(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).orderBy("block_idx").collect()
