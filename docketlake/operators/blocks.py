@@ -6,14 +6,29 @@ import re
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "div"}
 SILENT = {"script", "style", "head", "noscript", "template"}
 HTML_BLOCKS = "doc_id long, block_idx int, tag string, text string, char_start int, char_end int, heading_level int, bold boolean, italic boolean, footnotes array<string>"
+HTML_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+#: Bytes of HTML that are parsed at a time.
+PIECE = 1 << 21
+
+
+def pieces(batches, column: str, most: int = PIECE):
+    """The batches in pieces of about ``most`` bytes of a column, a row at least, so that a batch of any size is parsed in bounded memory."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 class _Blocks(HTMLParser):
@@ -92,32 +107,34 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     """One row per text block, with offsets in the blocks joined by blank lines. Null or empty HTML has no block."""
 
     def parse(batches):
-        for pdf in batches:
+        for part in pieces(batches, "html"):
             rows = []
-            for key_, source in zip(pdf["doc_id"], pdf["html"]):
+            for key_, source in zip(part.column("doc_id").to_pylist(), part.column("html").to_pylist()):
                 at = 0
                 for i, b in enumerate(parse_html(source)):
                     level = int(b["tag"][1]) if re.fullmatch("h[1-6]", b["tag"]) else None
                     whole = max(1, b["chars"])
                     rows.append((key_, i, b["tag"] or None, b["text"], at, at + len(b["text"]), level, b["bold"] == whole, b["italic"] == whole, b["notes"]))
                     at += len(b["text"]) + 2
-            if not rows:
-                continue
-            frame = pd.DataFrame(rows, dtype=object, columns=["doc_id", "block_idx", "tag", "text", "char_start", "char_end", "heading_level", "bold", "italic", "footnotes"])
-            frame["heading_level"] = frame["heading_level"].astype("Int32")
-            yield frame
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), HTML_KINDS)], [c.split()[0] for c in HTML_BLOCKS.split(", ")])
 
-    return pages.select(F.col(key).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInPandas(parse, HTML_BLOCKS)
+    return pages.select(F.col(key).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInArrow(parse, HTML_BLOCKS)
 
 
-def html_to_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """The blocks of each page joined by blank lines."""
+def _texts(pages: DataFrame, key: str, html: str, text_of) -> DataFrame:
+    """Pages (key, text), converted a piece of a batch at a time."""
+
+    def convert(batches):
+        for part in pieces(batches, "__html"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_of(v) for v in part.column(1).to_pylist()], pa.string())], [key, "text"])
 
-    @F.pandas_udf("string")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: "\n\n".join(b["text"] for b in parse_html(v)))
+    return pages.select(key, F.col(html).alias("__html")).mapInArrow(convert, f"`{key}` {dict(pages.dtypes)[key]}, text string")
 
-    return pages.select(key, convert(F.col(html)).alias("text"))
+
+def html_to_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The blocks of each page joined by blank lines."""
+    return _texts(pages, key, html, lambda v: "\n\n".join(b["text"] for b in parse_html(v)))
 
 
 NOTE = re.compile(r"#?_?ftn(\d+)", re.I)
@@ -196,12 +213,7 @@ def markdown_of(html: str | None) -> str:
 
 def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Pages as Markdown; links to footnotes become ``[^n]`` and their bodies ``[^n]: ``. Null or empty HTML gives an empty text."""
-
-    @F.pandas_udf("string")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(markdown_of)
-
-    return pages.select(key, convert(F.col(html)).alias("text"))
+    return _texts(pages, key, html, markdown_of)
 
 
 def spine_text(blocks: DataFrame, sep: str = "\n\n") -> DataFrame:
