@@ -154,11 +154,50 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
+#: Scores that a task computes at a time.
+CELLS = 1 << 19
+
+
+class _Best:
+    """The best ``k`` scores of each of ``n`` queries, with what ties with the last of them, out of blocks of scores."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.parts, self.size, self.most = k, np.full(n, -np.inf), [], 0, max(1 << 18, 4 * n * k)
+
+    def add(self, scores: np.ndarray, keys: pa.Array) -> None:
+        n, k = scores.shape[1], self.k
+        if n > k:
+            self.least = np.maximum(self.least, np.partition(scores, n - k, axis=1)[:, n - k])
+        row, at = np.nonzero(scores >= self.least[:, None] - 1e-11)
+        self.parts.append((row, keys.take(pa.array(at)), scores[row, at]))
+        self.size += len(row)
+        if self.size > self.most:
+            self.prune()
+            self.most = max(self.most, 2 * self.size)
+
+    def prune(self) -> None:
+        row, keys, score = (np.concatenate([p[0] for p in self.parts]), pa.concat_arrays([p[1] for p in self.parts]), np.concatenate([p[2] for p in self.parts]))
+        order = np.lexsort((-score, row))
+        row, score = row[order], score[order]
+        first = np.searchsorted(row, np.arange(len(self.least)))
+        ends = np.append(first[1:], len(row))
+        full = ends - first >= self.k
+        self.least[full] = np.maximum(self.least[full], score[first[full] + self.k - 1])
+        kept = score >= self.least[row] - 1e-11
+        self.parts, self.size = [(row[kept], keys.take(pa.array(order[kept])), score[kept])], int(kept.sum())
+
+    def kept(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), None, np.zeros(0)
+        self.prune()
+        return self.parts[0]
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 25, block_rows: int = 4096) -> DataFrame:
     """Exact cosine neighbours of every query vector: rows (query_id, key, score, rank), equal scores in order of the key.
 
-    Blocks of queries go to the vectors, whose batches are scored by one matrix product; each batch sends on its best
-    ``k`` of every query (and what ties with them), so what is shuffled doesn't depend on the vectors' size. Null vectors are left out.
+    Blocks of queries go to the vectors, which are scored by matrix products of CELLS scores at most; each task sends on its best
+    ``k`` of every query (and what ties with them), so what is held and shuffled doesn't depend on the vectors' size. Null vectors are left out.
     """
     kinds, spark = dict(vectors.dtypes), vectors.sparkSession
     table = vectors.where("embedding is not null").select(key, "embedding")
@@ -170,15 +209,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str
 
         def score(batches, shared=shared):
             q = shared.value
+            best = _Best(len(q), k)
             for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)
-                scores = q @ _unit(flat.reshape(n, -1)).T
-                least = np.partition(scores, n - k, axis=1)[:, n - k] - 1e-11 if n > k else np.full(len(q), -np.inf)
-                row, at = np.nonzero(scores >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(key).take(pa.array(at)), pa.array(scores[row, at])], ["row", key, "score"])
+                for i in range(0, batch.num_rows, piece := max(1, CELLS // len(q))):
+                    part = batch.slice(i, piece)
+                    flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)
+                    best.add(q @ _unit(flat.reshape(part.num_rows, -1)).T, part.column(key))
+            row, names_, scores = best.kept()
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(row), names_, pa.array(scores)], ["row", key, "score"])
 
         names = spark.createDataFrame(list(enumerate(ids)), f"row long, query_id {dict(queries.dtypes)[query_key]}")
         rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), key))
@@ -242,11 +281,27 @@ class HybridRetriever:
 def evaluate(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Recall, reciprocal rank and nDCG at ``k`` (binary) over all queries of ``relevant`` (query_id, item); ``ranked`` has query_id, item, rank."""
     hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", "item", F.lit(1).alias("rel")), ["query_id", "item"], "left")
+    return _measures(hits, relevant.groupBy("query_id").agg(F.count_distinct("item").alias("n")), k)
+
+
+def evaluate_labels(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """As ``evaluate``, where the items (item, label) of a query's label (query_id, label) are relevant.
+
+    Pairs of query and relevant item, as many as both tables' product, aren't made: relevant items are counted once a label.
+    """
+    items = items.where("label is not null").select("item", "label").distinct()
+    sizes = items.groupBy("label").agg(F.count("*").alias("n"))
+    hits = ranked.where(F.col("rank") <= k).join(queries.select("query_id", F.col("label").alias("asked")), "query_id")
+    hits = hits.join(items.select("item", "label"), "item", "left").withColumn("rel", F.when(F.col("label") == F.col("asked"), 1))
+    return _measures(hits, queries.select("query_id", "label").join(sizes, "label").select("query_id", "n"), k)
+
+
+def _measures(hits: DataFrame, want: DataFrame, k: int) -> DataFrame:
+    """Of the ranked items (query_id, item, rank, rel) and the number ``n`` of each query's relevant ones."""
     got = hits.groupBy("query_id").agg(
         F.count_distinct(F.when(F.col("rel") == 1, F.col("item"))).alias("found"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
         F.coalesce(F.sum(F.when(F.col("rel") == 1, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
     )
-    want = relevant.groupBy("query_id").agg(F.count_distinct("item").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     per = want.join(got, "query_id", "left").select(
         (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg")

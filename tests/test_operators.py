@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,40 @@ def test_fusion_and_retriever(spark):
         r.search("privacy", colour="red")
 
 
+def test_labels_evaluated_without_pairs(spark):
+    """As many as the pairs give, for ranks with and without hits and items without a label."""
+    items = spark.createDataFrame([(i, None if i == 7 else i % 3) for i in range(12)], "item long, label int")
+    queries = spark.createDataFrame([(0, 0), (1, 1), (2, 5), (3, None)], "query_id long, label int")
+    ranked = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 3, 3), (1, 7, 1), (1, 5, 2), (1, 4, 3), (2, 5, 1)], "query_id long, item long, rank long")
+    pairs = queries.join(items, "label").select("query_id", "item")
+    got = retrieval.evaluate_labels(ranked, queries, items, 3)
+    assert got.collect() == retrieval.evaluate(ranked, pairs, 3).collect() and got.first().queries == 2
+
+
+def test_best_of_blocks():
+    """The best of a task, with ties, whatever pieces its vectors come in; the rest isn't kept."""
+    scores = np.round(np.random.default_rng(1).random((5, 4000)), 3)
+    best = retrieval._Best(5, 10)
+    best.most = 200
+    for i in range(0, 4000, 7):
+        best.add(scores[:, i : i + 7], pa.array(range(i, min(i + 7, 4000))))
+        assert best.size <= best.most + 35
+    row, keys, found = best.kept()
+    for q in range(5):
+        least = np.sort(scores[q])[-10]
+        assert sorted(np.array(keys)[row == q]) == list(np.flatnonzero(scores[q] >= least))
+        assert (found[row == q] >= least).all()
+
+
+def test_html_in_pieces():
+    """A batch of any size is parsed a piece at a time."""
+    html = [None, "", "x" * 10, "y" * 25, None, "z" * 3] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(html)], ["doc_id", "html"])
+    parts = list(blocks.pieces([batch, batch.slice(0, 0)], "html", 20))
+    assert [v for p in parts for v in p.column("html").to_pylist()] == html and [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(120))
+    assert all(p.num_rows == 1 or sum(len(v or "") for v in p.column("html").to_pylist()) <= 20 for p in parts)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "hub", 1), ("b", "hub", 1), ("c", "hub", 1), ("a", "b", 2)], "source string, target string, citation_count long")
     ranks = {r.node: r["rank"] for r in graph.pagerank(edges, iterations=30).collect()}
