@@ -293,9 +293,8 @@ SELECT count(*) AS queries, round(avg(coalesce(found, 0) / n), 6) AS recall, rou
 """)
 def retrieval_eval(t):
     vectors = t("embeddings").select("vec_id", "label")
-    mine = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
-    relevant = vectors.join(mine, F.col("label") == F.col("q_label")).select("query_id", F.col("vec_id").alias("item"))
-    return RT.evaluate(_dense(t).withColumnRenamed("vec_id", "item"), relevant, 25)
+    mine = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return RT.evaluate_labels(_dense(t).withColumnRenamed("vec_id", "item"), mine, vectors.withColumnRenamed("vec_id", "item"), 25)
 
 
 @query(f"""
