@@ -104,7 +104,10 @@ def keypoint_labels(rows: DataFrame, keypoints: DataFrame, column: str = "id") -
 
 
 def ancestors(keypoints: DataFrame) -> DataFrame:
-    """Every keypoint with all keypoints above it, level by level, each a written table; a cycle ends where it would repeat."""
+    """Every keypoint with all keypoints above it, level by level, each a written table; a cycle ends where it would repeat.
+
+    Levels are merged with the table, not sent whole to the driver and all tasks, as would happen every round to files that compress well.
+    """
     up = written(keypoints.where("parent is not null").select("id", "parent"))
     step = up.select(F.col("id").alias("__from"), F.col("parent").alias("__next"))
     level = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), F.array("id", "parent").alias("path"))
@@ -112,7 +115,7 @@ def ancestors(keypoints: DataFrame) -> DataFrame:
     while True:
         level = written(level)
         found.append(level.select("id", "ancestor", "distance"))
-        level = level.join(step, F.col("ancestor") == F.col("__from")).where(~F.array_contains("path", F.col("__next")))
+        level = level.join(step.hint("merge"), F.col("ancestor") == F.col("__from")).where(~F.array_contains("path", F.col("__next")))
         level = level.select("id", F.col("__next").alias("ancestor"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("__next")).alias("path"))
         if level.isEmpty():
             return reduce(DataFrame.union, found)

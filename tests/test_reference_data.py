@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketlake.operators import embeddings, reference_data as rd, spans
+from docketlake.sources import scratch
 
 
 def test_execution(spark):
@@ -74,3 +75,17 @@ def test_embeddings(spark):
     with pytest.raises(ValueError, match="rows"):
         embeddings.verify(v.limit(1), "paragraph_id", m)
     assert [r.paragraph_id for r in embeddings.select_units(units, include_footnotes=True).collect()] == ["p4"]
+
+
+def test_ancestors_are_merged(spark, monkeypatch):
+    """No level is sent to the driver and all tasks."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.written(df)
+
+    monkeypatch.setattr(rd, "written", kept)
+    rows = rd.ancestors(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string")).collect()
+    assert sorted((r.id, r.ancestor, r.distance) for r in rows) == [("b", "a", 1), ("c", "a", 2), ("c", "b", 1)]
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
