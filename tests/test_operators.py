@@ -150,6 +150,31 @@ def test_graph(spark):
     assert graph.compare_edges(edges, edges.where("source = 'a'")).first().asDict() == {"shared": 2, "only_mine": 2, "only_other": 0}
 
 
+def test_communities_held_and_joined(spark):
+    """Arrays and joined tables give the same communities."""
+    rng = np.random.default_rng(3)
+    pairs = {(f"v{a}", f"v{b}") for a, b in rng.integers(0, 40, (90, 2))}
+    edges = spark.createDataFrame([(a, b, 1 + (len(a + b) + i) % 3) for i, (a, b) in enumerate(sorted(pairs))], "source string, target string, citation_count long")
+    held = {r.node: r.label for r in graph.communities(edges, most=3).collect()}
+    assert held == {r.node: r.label for r in graph.communities(edges, most=3, held_nodes=0).collect()}
+    assert list(graph._half_up(np.array([0.0000000005, -0.0000000015, 1.2345678904, 2.5]))) == [1e-9, -2e-9, 1.23456789, 2.5]
+
+
+def test_pagerank_sends_changes(spark):
+    """As the iteration over all nodes gives, with cycles and without."""
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("d", "b", 3), ("d", "c", 1), ("c", "e", 1)], "source string, target string, citation_count long")
+    x = dict.fromkeys("abcde", 1.0)
+    for _ in range(200):
+        new = dict.fromkeys(x, 1.0)
+        for r in edges.collect():
+            new[r.target] += 0.85 * x[r.source] * r.citation_count / {"a": 1, "b": 3, "d": 4, "c": 1}[r.source]
+        x = new
+    got = {r.node: r["rank"] for r in graph.pagerank(edges, weighted=True).collect()}
+    assert got == pytest.approx({v: y / sum(x.values()) for v, y in x.items()}, abs=1e-6)
+    plain = graph.pagerank(edges.where("source <> 'b' or target <> 'a'"), iterations=2).collect()
+    assert sum(r["rank"] for r in plain) == pytest.approx(1)
+
+
 def test_betweenness_in_blocks(spark):
     """Blocks of sources give the same, and none of their tables is left."""
     edges = spark.createDataFrame([(f"p{i}", f"s{i % 4}", 1) for i in range(12)] + [(f"s{i}", f"n{i % 2}", 1) for i in range(4)] + [("n0", "r", 1), ("n1", "r", 1), ("r", "p0", 1), ("p1", "s2", 1)], "source string, target string, citation_count long")
